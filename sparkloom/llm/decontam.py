@@ -251,11 +251,11 @@ WITH d AS (
   SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0)
 ), sizes AS (SELECT DISTINCT n FROM win
-), at AS (
+), spot AS (
   SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
   FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
 ), hit AS (
-  SELECT a.rid, a.i, a.n, w.item FROM at a JOIN win w ON a.s = w.s AND a.n = w.n
+  SELECT a.rid, a.i, a.n, w.item FROM spot a JOIN win w ON a.s = w.s AND a.n = w.n
 ), word AS (
   SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid
 ), items AS (
