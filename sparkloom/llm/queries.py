@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, ngram_join
 
 QUERIES = {
+    "op5_ngram_join": ngram_join.query,
     "op10_decontamination": decontam.query,
 }
 
 ORACLES = {
+    "op5_ngram_join": ngram_join.SQL,
     "op10_decontamination": decontam.SQL,
 }
