@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, ngram_join, quality
+from . import decontam, ngram_join, quality, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op6_quality": quality.query,
     "op5_ngram_join": ngram_join.query,
     "op10_decontamination": decontam.query,
