@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, ngram_join, quality, toxicity
+from . import decontam, embed_dedup, ngram_join, quality, toxicity
 
 QUERIES = {
+    "op3_embedding_dedup": embed_dedup.query,
     "op2_toxicity": toxicity.query,
     "op6_quality": quality.query,
     "op5_ngram_join": ngram_join.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_embedding_dedup": embed_dedup.SQL,
     "op5_ngram_join": ngram_join.SQL,
     "op10_decontamination": decontam.SQL,
 }
