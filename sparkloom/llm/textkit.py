@@ -90,6 +90,18 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span; the same bytes have the same hash wherever they stand."""
+    n = len(buf)
+    with np.errstate(over="ignore"):
+        value = _BYTE_VALUE[buf]
+        value *= _power_table("up", _BASE, n)[:n]
+        total = np.empty(n + 1, dtype=np.uint64)
+        total[0] = 0
+        np.cumsum(value, out=total[1:])
+        return mix((total[end] - total[start]) * _power_table("down", _BASE_INV, n + 1)[start])
+
+
 class Words:
     """The words of some texts, in order.
 
@@ -119,13 +131,7 @@ class Words:
         self.first = np.searchsorted(self.start, rel, side="left")
         self.n_rows = len(rel) - 1
         self.row = np.repeat(np.arange(self.n_rows), np.diff(self.first))
-        with np.errstate(over="ignore"):
-            value = _BYTE_VALUE[buf]
-            value *= _power_table("up", _BASE, n)[:n]
-            total = np.empty(n + 1, dtype=np.uint64)
-            total[0] = 0
-            np.cumsum(value, out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * _power_table("down", _BASE_INV, n)[self.start])
+        self.hash = span_hashes(buf, self.start, self.end)
 
     def text(self, i: int, j: int) -> list[bytes]:
         return [self.raw[a:b].tobytes() for a, b in zip(self.start[i:j], self.end[i:j], strict=True)]
