@@ -90,16 +90,26 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+class Spans:
+    """Hashes of spans of some bytes; the same bytes have the same hash wherever they stand."""
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        with np.errstate(over="ignore"):
+            value = _BYTE_VALUE[buf]
+            value *= _power_table("up", _BASE, n)[:n]
+            self.total = np.empty(n + 1, dtype=np.uint64)
+            self.total[0] = 0
+            np.cumsum(value, out=self.total[1:])
+        self.down = _power_table("down", _BASE_INV, n + 1)
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[end] - self.total[start]) * self.down[start])
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each span; the same bytes have the same hash wherever they stand."""
-    n = len(buf)
-    with np.errstate(over="ignore"):
-        value = _BYTE_VALUE[buf]
-        value *= _power_table("up", _BASE, n)[:n]
-        total = np.empty(n + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(value, out=total[1:])
-        return mix((total[end] - total[start]) * _power_table("down", _BASE_INV, n + 1)[start])
+    return Spans(buf).hash(start, end)
 
 
 class Words:
