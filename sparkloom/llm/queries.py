@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, embed_dedup, ngram_join, packing, quality, token_count, toxicity
+from . import decontam, embed_dedup, ngram_join, packing, quality, sharding, token_count, toxicity
 
 QUERIES = {
+    "op9_sharding": sharding.query,
     "op4_token_count": token_count.query,
     "op1_packing": packing.query,
     "op3_embedding_dedup": embed_dedup.query,
