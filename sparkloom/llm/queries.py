@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, embed_dedup, ngram_join, packing, quality, sharding, token_count, toxicity
+from . import decontam, embed_dedup, mixing, ngram_join, packing, quality, sharding, token_count, toxicity
 
 QUERIES = {
+    "op8_mixing": mixing.query,
     "op9_sharding": sharding.query,
     "op4_token_count": token_count.query,
     "op1_packing": packing.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op8_mixing": mixing.SQL,
     "op3_embedding_dedup": embed_dedup.SQL,
     "op5_ngram_join": ngram_join.SQL,
     "op10_decontamination": decontam.SQL,
