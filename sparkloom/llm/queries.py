@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, embed_dedup, mixing, ngram_join, packing, quality, sharding, token_count, toxicity
+from . import decontam, embed_dedup, license_scan, mixing, ngram_join, packing, quality, sharding, token_count, toxicity
 
 QUERIES = {
+    "op7_license_scan": license_scan.query,
     "op8_mixing": mixing.query,
     "op9_sharding": sharding.query,
     "op4_token_count": token_count.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_license_scan": license_scan.SQL,
     "op8_mixing": mixing.SQL,
     "op3_embedding_dedup": embed_dedup.SQL,
     "op5_ngram_join": ngram_join.SQL,
