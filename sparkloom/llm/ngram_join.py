@@ -4,29 +4,32 @@ A document's set holds the hashes of its distinct word n-grams.  Two sets of siz
 threshold of p per cent only if their difference is at most (100 - p)(a + b) / (100 + p).
 
 1. Equal sets are collapsed to their smallest id (pre-aggregated, so copies are no hot key).
-2. Blocking.  Hash space is cut into one group more than the difference allows; two sets that reach the
-   threshold hold the same n-grams in one group at least.  Sets that share a group's content meet; the
-   connected families of these meetings are the units of the search.  Nothing is lost here.
-3. Search in a family.  The n-grams are hashed into 64 groups, the group counts are points of an R-tree, the
-   sum of coordinate minima bounds the overlap of two points (or two boxes), and pairs under the bound
-   are verified on the sets.  A pair whose ends are linked already is not verified again.
-   A family over ``tile_rows`` documents is cut into tiles, and pairs of tiles are tasks of their own.
-4. Verified links and copies are joined to components.
+2. Blocking.  Hash space is cut into more groups than the difference allows; two sets that reach the threshold
+   hold the same n-grams in one group at least.  Sets that share a group's content meet.  Groups are
+   so many that empty ones need not count: of a set with more empty groups than allowed for, they do.
+3. Candidates.  N-grams are hashed into groups of a second kind, whose counts are points of an R-tree; the sum of
+   coordinate minima bounds the overlap of two points, or of two boxes.  Points that meet and keep the bound
+   are candidates, and connected candidates are the units of the search.  Nothing is lost so far.
+4. Search.  In a unit the pairs that keep the bound are verified on the sets; a pair whose ends are
+   linked already is not verified again.  Of meetings and units over ``tile_rows`` documents, pairs of tiles are tasks.
+5. Verified links and copies are joined to components.
 
 N-grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit as T
-from .common import arrow_groups, components, cut, table
+from .common import arrow_groups, components, cut, rows_of_groups, table
 
 GROUPS = 64
 _RATIO = 1.35
@@ -62,15 +65,27 @@ class Signatures:
     def __init__(self, percent: int):
         self.p = percent
         self.bounds = [1]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def _class(self, size: int) -> int:
         while self.bounds[-1] <= size:
             self.bounds.append(int(self.bounds[-1] * _RATIO) + 1)
         return int(np.searchsorted(self.bounds, size, side="right")) - 1
 
-    def groups(self, c: int) -> int:
-        """One more than the largest difference of two sets of which the larger is in class c."""
-        return 2 * (self.bounds[c + 1] - 1) * (100 - self.p) // (100 + self.p) + 1
+    def groups(self, c: int) -> tuple[int, int]:
+        """(groups, empty groups allowed for) where the larger of two sets is in class c.
+
+        More groups than the largest difference and the allowed empty ones together: so two sets have a
+        common group that is not empty, or each of them has more empty ones.
+        """
+        most = 2 * (self.bounds[c + 1] - 1) * (100 - self.p) // (100 + self.p)
+        least = max(1, self.bounds[c] * self.p // 100)
+        groups, empty = most + 1, 0
+        for _ in range(20 if most else 0):
+            mean = groups * math.exp(-least / groups)
+            empty = math.ceil(mean + 4 * math.sqrt(mean))
+            groups = most + 1 + empty
+        return groups, empty
 
     def of(self, s: np.ndarray) -> np.ndarray:
         size = len(s)
@@ -79,16 +94,27 @@ class Signatures:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(s + np.uint64(77)))])
             top = self._class(max(size, size * 100 // self.p))
             for c in range(self._class(size), top + 1):
-                g = self.groups(c)
+                g, empty = self.known.setdefault(c, self.groups(c)) if c not in self.known else self.known[c]
                 if g == 1:  # only equal sets reach the threshold here
                     continue
                 step = np.uint64(2**64 // g)
                 at = np.concatenate([[0], np.searchsorted(s, np.arange(1, g, dtype=np.uint64) * step), [size]])
                 content = total[at[1:]] - total[at[:-1]]
-                out.append(T.mix(content + T.mix(np.arange(g, dtype=np.uint64) + np.uint64(c << 40))))
+                own = T.mix(content + T.mix(np.arange(g, dtype=np.uint64) + np.uint64(c << 40)))
+                some = at[1:] > at[:-1]
+                out.append(own[some] if g - some.sum() <= empty else own)
         return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
+def count_groups(size: int) -> int:
+    """Groups of a count vector: so many that unrelated sets of the size mostly fail the bound."""
+    return max(GROUPS, 1 << (size // 4).bit_length())
+
+
+def count_vector(s: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((s >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
+
+
 class CountTree:
     """R-tree over the rows of ``counts``, loaded in bulk; boxes are kept as their largest counts and least size."""
 
@@ -160,6 +186,33 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def candidates_of(counts: np.ndarray, percent: int, tile: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of points that keep the bound, as many as connect what all of them connect."""
+    parent = list(range(len(counts)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    if len(counts) <= 8:
+        size = counts.sum(axis=1)
+        may = (100 + percent) * np.minimum(counts[:, None], counts[None]).sum(axis=2) >= percent * (size[:, None] + size)
+        pairs = [(x, y) for x, y in np.argwhere(may).tolist() if x < y]
+    else:
+        pairs = ((int(xs[0]), y) for xs, ys in CountTree(counts, percent).pairs() for y in ys.tolist())
+    out = []
+    for x, y in pairs:
+        if tile is not None and tile[x] == tile[y]:
+            continue
+        a, b = top(x), top(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
 def links_of(sets: list[np.ndarray], percent: int, tile: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what the threshold connects.  tile: pairs within one tile are left out."""
     parent = list(range(len(sets)))
@@ -170,7 +223,8 @@ def links_of(sets: list[np.ndarray], percent: int, tile: np.ndarray | None = Non
             x = parent[x]
         return x
 
-    counts = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+    groups = count_groups(max(map(len, sets)))
+    counts = np.stack([count_vector(s, groups) for s in sets]).astype(np.int32)
     out = []
     for xs, ys in CountTree(counts, percent).pairs():
         x = int(xs[0])
@@ -239,22 +293,47 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
 
     by_sig = Window.partitionBy("sig")
     met = source.mapInArrow(signatures, f"sig long, f1 long, doc_id {key_type}")
-    met = met.select("doc_id", F.min("doc_id").over(by_sig).alias("lead"), F.min("f1").over(by_sig).alias("lo"), F.max("f1").over(by_sig).alias("hi"))
-    meetings = met.where("lo <> hi").select("doc_id", "lead").distinct()
-    families = cut(components(meetings, "doc_id", "lead"))
-    sized = families.join(families.groupBy("component").agg(F.count("*").alias("m")), "component")
-    members = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"))
+    met = met.select("sig", "doc_id", F.min("f1").over(by_sig).alias("lo"), F.max("f1").over(by_sig).alias("hi"), F.count("*").over(by_sig).alias("m"))
+    met = cut(met.where("lo <> hi").select("sig", "doc_id", F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = T.text_buffers(batch.column(1))
-            data = [s.tobytes() for _, s in ngram_sets(raw, off, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(data, pa.binary())], names=["doc_id", "family", "tiles", "grams"])
-
-    held = source.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "family", "tiles").mapInArrow(sets, f"doc_id {key_type}, family {key_type}, tiles int, grams binary")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    placed = held.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.select("family", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "grams")
+            data = [s for _, s in ngram_sets(raw, off, n)]
+            size = [len(s) for s in data]
+            counts = [np.minimum(count_vector(s, count_groups(len(s))), 65535).astype(np.uint16).tobytes() for s in data]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in data], pa.binary())], names=["doc_id", "size", "counts", "grams"])
+
+    meeting = met.select("doc_id").distinct().hint("shuffle_hash")
+    held = cut(source.join(meeting, "doc_id").select("doc_id", "text").mapInArrow(sets, f"doc_id {key_type}, size long, counts binary, grams binary"))
+    tiled = lambda df, *key: df.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        key[0], F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", *key[1:]
+    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[pa.Array] = [[], []]
+        for group in rows_of_groups(batches, ["sig", "i", "j"]):
+            if group.num_rows < 2:
+                continue
+            i, j = group["i"][0].as_py(), group["j"][0].as_py()
+            counts = [np.frombuffer(x.as_buffer(), dtype=np.uint16).astype(np.int32) for x in group["counts"]]
+            least = min(map(len, counts))
+            counts = np.stack([c.reshape(least, -1).sum(axis=1) for c in counts])
+            ids = group["doc_id"].to_pylist()
+            for x, y in candidates_of(counts, percent, np.asarray(group["tile"]) if i != j else None):
+                found[0].append(ids[x]), found[1].append(ids[y])
+            if len(found[0]) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, arrow_key) for x in found], names=["u", "v"])
+                found = [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(x, arrow_key) for x in found], names=["u", "v"])
+
+    arrow_key = to_arrow_type(source.schema["doc_id"].dataType)
+    order = ["sig", "i", "j", "doc_id"]
+    spots = tiled(met.join(held.select("doc_id", "counts"), "doc_id"), "sig", "doc_id", "counts").repartition(*order[:3]).sortWithinPartitions(*order)
+    families = cut(components(spots.mapInArrow(meet, f"u {key_type}, v {key_type}"), "u", "v"))
+    sized = families.join(families.groupBy("component").agg(F.count("*").alias("m")), "component")
+    members = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"))
+    placed = tiled(held.select("doc_id", "grams").join(members, "doc_id"), "family", "doc_id", "grams")
 
     def search(group: pa.Table) -> Iterator[pa.RecordBatch]:
         grams = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["grams"]]
