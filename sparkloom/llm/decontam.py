@@ -148,7 +148,7 @@ class BlockIndex:
         return out
 
 
-def _scan(batch: pa.RecordBatch, text: str, phrases: Phrases) -> Iterator[dict[str, list]]:
+def _scan(batch: pa.RecordBatch, text: int, phrases: Phrases) -> Iterator[dict[str, list]]:
     raw, off = T.text_buffers(batch.column(text))
     for i, j in T.chunks(off):
         w = T.Words(raw, off[i : j + 1], T.ALNUM_WORDS)
@@ -189,16 +189,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
     if size > max_query_mb << 20:
         raise ValueError(f"the test set has {size >> 20} MB, over max_query_mb; pass it in blocks of items")
     phrases = Phrases.build([(r["i"], r["t"]) for r in queries.collect()], window)
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    schema = source.drop("__text").schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("item_ids", ArrayType(StringType()))
+    source = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    at = source.columns.index(text)
+    kept = [i for i, c in enumerate(source.columns) if c in keep]
+    schema = docs.select(*keep).schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("item_ids", ArrayType(StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in _scan(batch, "__text", phrases):
+            for x in _scan(batch, at, phrases):
                 i, j = x["range"]
-                cols = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
+                cols = [batch.column(k).slice(i, j - i) for k in kept]
                 cols += [pa.array(x["n_words"], pa.int64()), pa.array(x["n_hit"], pa.int64()), pa.array([len(v) for v in x["items"]], pa.int64()), pa.array(x["items"], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "n_words", "n_hit", "n_items", "item_ids"])
+                yield pa.RecordBatch.from_arrays(cols, names=[*(batch.schema.names[k] for k in kept), "n_words", "n_hit", "n_items", "item_ids"])
 
     return source.mapInArrow(run, schema)
 
@@ -231,6 +233,16 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with the columns they have."""
+    added = ["n_words", "n_hit", "n_items", "item_ids"]
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes
+    at = dict(zip(docs.columns, names, strict=True))
+    own = {k: at[options.pop(k, k)] for k in ("doc_id", "text")}
+    got = scan(docs.toDF(*names), benchmark, keep=names, **own, **options).where(~contaminated()).drop(*added)
+    return got.toDF(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

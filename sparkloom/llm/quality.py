@@ -55,21 +55,31 @@ def train(docs: DataFrame, labels: DataFrame, allowed, *, label: str = "quality"
     return gbt.fit(x, got["y"].to_numpy(dtype=float), **options)
 
 
-def score(docs: DataFrame, model: gbt.Trees, *, text: str = "text", keep: list[str]) -> DataFrame:
-    """``keep`` columns and the score of every row; null counts as empty text."""
-    source = docs.select(*keep, F.col(text).alias("__text"))
+def score(docs: DataFrame, model: gbt.Trees, *, text: str = "text", keep: list[str], name: str = "__score") -> DataFrame:
+    """``keep`` columns and the score of every row, as column ``name``; null counts as empty text."""
+    source = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    at = source.columns.index(text)
+    kept = [i for i, c in enumerate(source.columns) if c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, x in _matrix(batch, batch.num_columns - 1):
-                cols = [c.slice(i, j - i) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(model.probability(x))], names=[*batch.schema.names[:-1], "__score"])
+            for i, j, x in _matrix(batch, at):
+                cols = [batch.column(c).slice(i, j - i) for c in kept]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(model.probability(x))], names=[*(batch.schema.names[c] for c in kept), name])
 
-    return source.mapInArrow(run, source.drop("__text").schema.add("__score", "double"))
+    return source.mapInArrow(run, docs.select(*keep).schema.add(name, "double"))
+
+
+def accept(docs: DataFrame, model: gbt.Trees, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with the columns they have."""
+    name = "__quality"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, text=text, keep=docs.columns, name=name).where(F.col(name) >= least).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
-    got = score(docs, model, keep=["doc_id"]).withColumnRenamed("__score", "score")
+    got = score(docs, model, keep=["doc_id"], name="score")
     return got.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
