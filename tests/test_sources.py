@@ -90,3 +90,44 @@ def test_nan_keys(spark):
     df = spark.createDataFrame([(float("nan"),)], "k double")
     with pytest.raises(Exception, match="NaN"):
         df.select(nan_free("k")).collect()
+
+
+def test_function_source_and_sinks(spark, tmp_path):
+    df = S.function_source(spark, "numbers-of-partition", "part int, v int", 3, lambda i: iter([(i, 10 * i + k) for k in range(i)]))
+    assert sorted(map(tuple, df.collect())) == [(1, 10), (2, 20), (2, 21)]
+    lines = spark.createDataFrame([("a",), ("b",), ("c",)], "value string").coalesce(1)
+
+    def write(base, part, rows):
+        with open(f"{base}/{part}", "w") as f:
+            f.writelines(f"{x}\n" for x in rows)
+
+    S.save_with(lines, str(tmp_path), write)
+    assert (tmp_path / "0").read_text() == "a\nb\nc\n"
+    S.save_partition(lines, 0, str(tmp_path / "one"))
+    assert spark.read.text(str(tmp_path / "one")).count() == 3
+    with pytest.raises(IndexError):
+        S.save_partition(lines, 5, str(tmp_path / "none"))
+
+
+def test_bundled_pipelines(spark, tmp_path):
+    from sparkloom.plans import bundled
+
+    assert bundled and pipelines.run(spark, "numbers", "count") == 5
+    assert {tuple(r) for r in pipelines.run(spark, "wordcount")} == {("hello", 3), ("world", 2), ("spark", 2)}
+    assert {tuple(r) for r in pipelines.run(spark, "join")} == {(1, "one", 10), (1, "one", 11), (2, "two", 20)}
+    assert {tuple(r) for r in pipelines.run(spark, "broadcast")} == {("a", 3), ("b", 5), ("missing", 0)}
+    assert [r.k for r in pipelines.run(spark, "sort", order="down")] == list(range(127, -1, -1))
+    path = str(tmp_path / "saved")
+    pipelines.run(spark, "wordcount-lines", "save", path=path)
+    assert sorted(r[0] for r in S.read_committed(spark, path, check=True).collect()) == ["{hello 3}", "{spark 2}", "{world 2}"]
+
+
+def test_stream_of_lines(spark, tmp_path):
+    from sparkloom.streaming import text_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"x\r\ny\n")
+    q = text_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("stream_lines").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r[0] for r in spark.table("stream_lines").collect()) == ["x", "y"]
