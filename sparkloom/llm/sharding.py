@@ -131,3 +131,25 @@ def write(docs: DataFrame, path: str, *, shards: int = 16, tolerance: float = 0.
 def query(spark, sf_dir: str) -> DataFrame:
     got = assign(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The CRC-32 is folded over the bytes of the text, with its table made by the polynomial's rule.
+SQL = r"""
+WITH RECURSIVE tab(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM tab WHERE k < 8
+), crc AS (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM tab WHERE k = 8
+), d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS k1,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k2 FROM documents
+), s AS (
+  SELECT doc_id, k1, k2, CAST(octet_length(b) + 1 AS BIGINT) AS size,
+         xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(regexp_extract_all(hex(b), '..'), lambda p: CAST('0x' || p AS BIGINT))), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS text_crc32
+  FROM d, crc
+), u AS (
+  SELECT *, sum(size) OVER (PARTITION BY k1) AS gb, sum(size) OVER (PARTITION BY k1, k2) AS unit, sum(size) OVER (ORDER BY k1, k2 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(size) OVER (PARTITION BY k1, k2) AS p, sum(size) OVER () AS total FROM s
+), v AS (SELECT *, gb * 16 <= 0.02 * total AS whole, min(p) OVER (PARTITION BY k1) AS gp FROM u
+), x AS (
+  SELECT *, CAST((SELECT count(*) FROM range(1, 16) r(j) WHERE 2 * ((j * total + 15) // 16) < 2 * (CASE WHEN whole THEN gp ELSE p END) + CASE WHEN whole THEN gb ELSE unit END) AS INTEGER) AS shard FROM v
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY k2, k1, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM x
+"""

@@ -140,7 +140,7 @@ def test_long_runs_are_cut_at_characters():
     assert words.tolist() == [-(-200 // 15), 1] and tokens.tolist() == [201, 2]
 
 
-SQL_NAMES = ["op3_embedding_dedup", "op5_ngram_join", "op7_license_scan", "op8_mixing", "op10_decontamination"]
+SQL_NAMES = ["op3_embedding_dedup", "op5_ngram_join", "op7_license_scan", "op8_mixing", "op9_sharding", "op10_decontamination"]
 
 
 @pytest.mark.parametrize("name", SQL_NAMES)
