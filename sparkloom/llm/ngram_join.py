@@ -106,13 +106,21 @@ class Signatures:
         return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def count_groups(size: int) -> int:
-    """Groups of a count vector: so many that unrelated sets of the size mostly fail the bound."""
-    return max(GROUPS, 1 << (size // 4).bit_length())
+def count_vector(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's n-grams in groups of hashes, a power of two of them: so many that unrelated sets of the size
+    mostly fail the bound, and that every count fits a byte."""
+    groups = max(GROUPS, 1 << (len(s) // 4).bit_length())
+    while True:
+        counts = np.bincount((s >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
 
 
-def count_vector(s: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount((s >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
+def common_groups(vectors: list[np.ndarray]) -> np.ndarray:
+    """Count vectors in as many groups as the shortest has, a row a set."""
+    least = min(map(len, vectors))
+    return np.stack([v.astype(np.int32).reshape(least, -1).sum(axis=1) for v in vectors])
 
 
 class CountTree:
@@ -223,8 +231,7 @@ def links_of(sets: list[np.ndarray], percent: int, tile: np.ndarray | None = Non
             x = parent[x]
         return x
 
-    groups = count_groups(max(map(len, sets)))
-    counts = np.stack([count_vector(s, groups) for s in sets]).astype(np.int32)
+    counts = common_groups([count_vector(s) for s in sets])
     out = []
     for xs, ys in CountTree(counts, percent).pairs():
         x = int(xs[0])
@@ -252,11 +259,11 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = T.text_buffers(batch.column(1))
-            got = [(len(s), set_id(s, 1), set_id(s, 2)) for _, s in ngram_sets(raw, off, n)]
-            cols = [pa.array([x[k] for x in got], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_shingles", "f1", "f2"])
+            got = [(len(s), set_id(s, 1), set_id(s, 2), count_vector(s).tobytes()) for _, s in ngram_sets(raw, off, n)]
+            cols = [pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_shingles", "f1", "f2", "counts"])
 
-    each = cut(source.mapInArrow(sizes, f"doc_id {key_type}, n_shingles long, f1 long, f2 long"))
+    each = cut(source.mapInArrow(sizes, f"doc_id {key_type}, n_shingles long, f1 long, f2 long, counts binary"))
     known = each.where("n_shingles > 0 and doc_id is not null")
     first = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last")
     copies = known.join(first, ["f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
@@ -293,32 +300,22 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
 
     by_sig = Window.partitionBy("sig")
     met = source.mapInArrow(signatures, f"sig long, f1 long, doc_id {key_type}")
-    met = met.select("sig", "doc_id", F.min("f1").over(by_sig).alias("lo"), F.max("f1").over(by_sig).alias("hi"), F.count("*").over(by_sig).alias("m"))
-    met = cut(met.where("lo <> hi").select("sig", "doc_id", F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles")))
+    same = [F.min("f1").over(by_sig).alias("lo"), F.max("f1").over(by_sig).alias("hi"), F.count("*").over(by_sig).alias("m"), F.bit_xor(F.xxhash64("doc_id")).over(by_sig).alias("who")]
+    # Meetings of the same documents are one: what names a meeting is its size and the documents in it.
+    met = met.select("doc_id", *same).where("lo <> hi").select("who", "doc_id", F.col("m"), F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"))
+    met = cut(met.distinct().select(F.xxhash64("who", "m").alias("meeting"), "doc_id", "tiles"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = T.text_buffers(batch.column(1))
-            data = [s for _, s in ngram_sets(raw, off, n)]
-            size = [len(s) for s in data]
-            counts = [np.minimum(count_vector(s, count_groups(len(s))), 65535).astype(np.uint16).tobytes() for s in data]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in data], pa.binary())], names=["doc_id", "size", "counts", "grams"])
-
-    meeting = met.select("doc_id").distinct().hint("shuffle_hash")
-    held = cut(source.join(meeting, "doc_id").select("doc_id", "text").mapInArrow(sets, f"doc_id {key_type}, size long, counts binary, grams binary"))
     tiled = lambda df, *key: df.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         key[0], F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", *key[1:]
     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[pa.Array] = [[], []]
-        for group in rows_of_groups(batches, ["sig", "i", "j"]):
+        for group in rows_of_groups(batches, ["meeting", "i", "j"]):
             if group.num_rows < 2:
                 continue
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            counts = [np.frombuffer(x.as_buffer(), dtype=np.uint16).astype(np.int32) for x in group["counts"]]
-            least = min(map(len, counts))
-            counts = np.stack([c.reshape(least, -1).sum(axis=1) for c in counts])
+            counts = common_groups([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in group["counts"]])
             ids = group["doc_id"].to_pylist()
             for x, y in candidates_of(counts, percent, np.asarray(group["tile"]) if i != j else None):
                 found[0].append(ids[x]), found[1].append(ids[y])
@@ -328,12 +325,21 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
         yield pa.RecordBatch.from_arrays([pa.array(x, arrow_key) for x in found], names=["u", "v"])
 
     arrow_key = to_arrow_type(source.schema["doc_id"].dataType)
-    order = ["sig", "i", "j", "doc_id"]
-    spots = tiled(met.join(held.select("doc_id", "counts"), "doc_id"), "sig", "doc_id", "counts").repartition(*order[:3]).sortWithinPartitions(*order)
+    order = ["meeting", "i", "j", "doc_id"]
+    vectors = known.select("doc_id", "counts").join(met.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    spots = tiled(met.join(vectors, "doc_id"), "meeting", "doc_id", "counts").repartition(*order[:3]).sortWithinPartitions(*order)
     families = cut(components(spots.mapInArrow(meet, f"u {key_type}, v {key_type}"), "u", "v"))
     sized = families.join(families.groupBy("component").agg(F.count("*").alias("m")), "component")
     members = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"))
-    placed = tiled(held.select("doc_id", "grams").join(members, "doc_id"), "family", "doc_id", "grams")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = T.text_buffers(batch.column(1))
+            data = [s.tobytes() for _, s in ngram_sets(raw, off, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(data, pa.binary())], names=["doc_id", "family", "tiles", "grams"])
+
+    texts = source.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "family", "tiles")
+    placed = tiled(texts.mapInArrow(sets, f"doc_id {key_type}, family {key_type}, tiles int, grams binary"), "family", "doc_id", "grams")
 
     def search(group: pa.Table) -> Iterator[pa.RecordBatch]:
         grams = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["grams"]]
