@@ -195,7 +195,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def candidates_of(counts: np.ndarray, percent: int, tile: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of points that keep the bound, as many as connect what all of them connect."""
+    """Of what pairs that keep the bound connect, each point with the first one; not every such pair keeps the bound itself."""
     parent = list(range(len(counts)))
 
     def top(x: int) -> int:
@@ -210,19 +210,15 @@ def candidates_of(counts: np.ndarray, percent: int, tile: np.ndarray | None = No
         pairs = [(x, y) for x, y in np.argwhere(may).tolist() if x < y]
     else:
         pairs = ((int(xs[0]), y) for xs, ys in CountTree(counts, percent).pairs() for y in ys.tolist())
-    out = []
     for x, y in pairs:
-        if tile is not None and tile[x] == tile[y]:
-            continue
-        a, b = top(x), top(y)
-        if a != b:
+        if tile is None or tile[x] != tile[y]:
+            a, b = top(x), top(y)
             parent[max(a, b)] = min(a, b)
-            out.append((x, y))
-    return out
+    return [(top(x), x) for x in range(len(counts)) if top(x) != x]
 
 
 def links_of(sets: list[np.ndarray], percent: int, tile: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what the threshold connects.  tile: pairs within one tile are left out."""
+    """Of what links connect, each set with the first one.  tile: pairs within one tile are left out."""
     parent = list(range(len(sets)))
 
     def top(x: int) -> int:
@@ -232,7 +228,6 @@ def links_of(sets: list[np.ndarray], percent: int, tile: np.ndarray | None = Non
         return x
 
     counts = common_groups([count_vector(s) for s in sets])
-    out = []
     for xs, ys in CountTree(counts, percent).pairs():
         x = int(xs[0])
         for y in ys.tolist():
@@ -241,8 +236,7 @@ def links_of(sets: list[np.ndarray], percent: int, tile: np.ndarray | None = Non
             a, b = top(x), top(y)
             if a != b and (100 + percent) * overlap(sets[x], sets[y]) >= percent * (len(sets[x]) + len(sets[y])):
                 parent[max(a, b)] = min(a, b)
-                out.append((x, y))
-    return out
+    return [(top(x), x) for x in range(len(sets)) if top(x) != x]
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, tile_rows: int = 2048) -> DataFrame:
