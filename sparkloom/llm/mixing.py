@@ -102,6 +102,13 @@ def mix(docs: DataFrame, *, weights: dict[str, int] | None = None, source: str =
     return got.sortWithinPartitions("cycle", "at", "inner").select("row.*", *added)
 
 
+def ordered(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` in mixed order with just the columns they have, whatever those are called."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    return mix(docs.toDF(*names), source=at[source], doc_id=at[doc_id], **options).select(names).toDF(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     got = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return got.select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_release").alias("release"), F.col("mix_deadline").alias("deadline"), F.col("mix_slot").alias("slot"))

@@ -86,6 +86,8 @@ def test_mix_equals_brute_force(spark, edge_docs, no_docs):
         cycle += 1
     assert [r.doc_id for r in sorted(got.collect(), key=lambda r: r.mix_slot)] == want
     assert [r.mix_slot for r in got.collect()] == list(range(900))  # rows lie in that order
+    clash = edge_docs.withColumn("mix_slot", F.lit("kept")).withColumn("row", F.lit(1))
+    assert mixing.ordered(clash).columns == clash.columns and {r.mix_slot for r in mixing.ordered(clash).collect()} == {"kept"}
     edge = mixing.mix(edge_docs)
     assert sorted(r.mix_slot for r in edge.collect()) == list(range(edge_docs.count())) and mixing.mix(no_docs).count() == 0
     for bad in ({"a": 1}, {"a": 0, "b": 1, "c": 1}):
