@@ -33,7 +33,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, in the order of the mixture: files and rows in them follow its slots."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.ordered(docs)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
