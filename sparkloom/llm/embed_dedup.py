@@ -1,13 +1,13 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by exact comparison, tile against tile.
 
-In each pass the vectors of a label are ordered by 62 concatenated signs of random projections (a pass has
-its own), and each is compared with the ``window`` vectors that follow it.  Near vectors agree in most
-signs, so that they stand close in some pass.  Pairs whose cosine reaches the threshold are united across
-passes; the links of the resulting components are then counted exactly, tile against tile, so that a dense
-group of any size has all its links, however narrow the window.  Equal vectors are one node with a weight.
+The vectors of one label and length are dealt into tiles by the hash of their ids, and each pair of tiles is
+a task that compares all its pairs: by a product in single precision first, and where that comes within its
+rounding error of the threshold, in double precision.  So every link is counted and no link is missed, whatever
+the rows of a label and however they lie.  A task gives the number of links of its vectors and of its links those
+that connect something; these are united.  Equal vectors are one node with a weight.
 
-What can be missed is a link between two components that no pass brought together; the chance falls
-with the number of passes (the README has the measured recall).
+m different vectors of a label cost m² / 2 products.  The tiles of a label are as many as the root of
+m / tile_rows, so that both what is shuffled for a vector and the rows of a task grow with the root of m.
 """
 
 from __future__ import annotations
@@ -21,11 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_groups, components, cut, table
 
-SIGNS = 62
-
-
-def _planes(passes: int, dim: int) -> np.ndarray:
-    return np.random.default_rng(7919 * dim + 1).standard_normal((passes, dim, SIGNS))
+TILE_BYTES = 16 << 20
+ROWS, COLUMNS = 512, 8192
 
 
 def _vectors(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -37,23 +34,49 @@ def _vectors(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _spanning(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Indices of pairs that connect what those before them don't."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent.setdefault(p, p)
-            x = parent[x]
-        return x
-
-    keep = []
-    for i, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
-        a, b = top(a), top(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep.append(i)
-    return np.array(keep, dtype=np.int64)
+class Connected:
+    """Of pairs given row by row, those that connect what the ones before don't."""
+
+    def __init__(self, n: int):
+        self.part = np.arange(n)
+        self.u: list[int] = []
+        self.v: list[int] = []
+
+    def add(self, x: int, others: np.ndarray) -> None:
+        others = others[self.part[others] != self.part[x]]
+        if len(others):
+            parts, first = np.unique(self.part[others], return_index=True)
+            self.u += [x] * len(parts)
+            self.v += others[first].tolist()
+            self.part[np.isin(self.part, parts)] = self.part[x]
+
+
+def compare(unit: np.ndarray, weight: np.ndarray, tile: np.ndarray, threshold: float, within: bool) -> tuple[np.ndarray, Connected]:
+    """Summed weights of what each vector links with, and connecting links: of all pairs (``within``), or those of two tiles."""
+    n, dim = unit.shape
+    single = unit.astype(np.float32)
+    least = np.float32(threshold - (dim + 8) * 2.0**-22)  # below what rounding can take from a product
+    left, right = (np.arange(n), np.arange(n)) if within else (np.flatnonzero(tile == tile[0]), np.flatnonzero(tile != tile[0]))
+    total, connected = np.zeros(n, dtype=np.int64), Connected(n)
+    for a in range(0, len(left), ROWS):
+        rows = left[a : a + ROWS]
+        for b in range(a if within else 0, len(right), COLUMNS):  # within a tile the pairs behind the diagonal
+            columns = right[b : b + COLUMNS]
+            may = single[rows] @ single[columns].T >= least
+            if within:
+                may &= rows[:, None] < columns
+            x, y = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+            if not len(x):
+                continue
+            x, y = rows[x], columns[y]
+            near = unit[x] @ unit[y].T >= threshold
+            if within:
+                near &= x[:, None] < y
+            total[x] += near @ weight[y]
+            total[y] += weight[x] @ near
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                connected.add(int(x[i]), y[near[i]])
+    return total, connected
 
 
 def links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, passes: int = 16, window: int = 32, tile_rows: int = 2048) -> DataFrame:
@@ -62,7 +85,8 @@ def links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
     Only vectors with equal labels and lengths are compared, by cosine in double precision.  A row links with
     nothing (0 links, a component of its own) if its id, label or vector is null, or its vector is empty, zero
     or holds null or non-finite components.  Equal rows link with each other.  n_links counts the other rows
-    linked directly.  An empty table gives no rows; other columns play no part.
+    linked directly.  An empty table gives no rows; other columns play no part.  passes and window belonged
+    to an approximate search and have no effect: all pairs are compared.
     """
     kind = "f4" if "float" in dict(vectors.dtypes)[embedding] else "f8"
     source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).alias("e"))
@@ -86,64 +110,26 @@ def links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
     classes = cut(valid.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.any_value("v").alias("v")))
     size_of = np.dtype(kind).itemsize
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = np.array([len(x.as_buffer()) for x in batch.column(2)], dtype=np.int64)
-            for n in np.unique(length):
-                part = batch.take(pa.array(np.flatnonzero(length == n)))
-                unit = _vectors(part.column(2), kind)
-                for p, plane in enumerate(_planes(passes, int(n) // size_of)):
-                    code = ((unit @ plane > 0).astype(np.int64) << np.arange(SIGNS)[::-1]).sum(axis=1)
-                    size = len(code)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(size, p, np.int32)), pa.array(np.full(size, n, np.int32)), part.column(0), pa.array(code), part.column(1), part.column(2)],
-                        names=["pass", "len", "label", "code", "rep", "v"],
-                    )
-
-    order = ["pass", "len", "label", "code", "rep"]
-    placed = classes.select("label", "rep", "v").mapInArrow(hashed, "pass int, len int, label string, code long, rep long, v binary").repartitionByRange(*order).sortWithinPartitions(*order)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.Table | None = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = pa.concat_tables([tail, now]) if tail is not None else now
-            old = tail.num_rows if tail is not None else 0
-            group = list(zip(now["pass"].to_pylist(), now["len"].to_pylist(), now["label"].to_pylist(), strict=True))
-            starts = [i for i in range(len(group)) if not i or group[i] != group[i - 1]] + [len(group)]
-            reps = np.asarray(now["rep"])
-            us, vs = [], []
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                unit = _vectors(now["v"].slice(a, b - a), kind)
-                for o in range(1, min(window, b - a - 1) + 1):
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", unit[:-o], unit[o:]) >= threshold)
-                    hit = hit[hit + o + a >= old]  # the rest was compared with the batch before
-                    us.append(reps[a + hit])
-                    vs.append(reps[a + hit + o])
-            u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
-            keep = _spanning(u, v)
-            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
-            tail = now.slice(max(0, now.num_rows - window))
-
-    families = cut(components(placed.mapInArrow(near, "u long, v long"), "u", "v"))
-    sized = families.join(families.groupBy("component").agg(F.count("*").alias("m")), "component")
-    members = classes.join(sized, classes["rep"] == sized["node"]).select("component", F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"), "label", "rep", "weight", "v")
+    sizes = classes.groupBy("label", F.octet_length("v").alias("len")).agg(F.count("*").alias("m"))
+    tiles = F.ceil(F.greatest(F.sqrt(F.col("m") / tile_rows), F.col("m") * F.col("len") / TILE_BYTES)).cast("int").alias("tiles")
+    members = classes.select("label", F.octet_length("v").alias("len"), "rep", "weight", "v").join(sizes.where("m > 1").select("label", "len", tiles), ["label", "len"])
     members = members.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    members = members.select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "weight", "v")
+    members = members.select("label", "len", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "weight", "v")
 
     def count(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        unit, weight, tile, rep = _vectors(group["v"], kind), np.asarray(group["weight"]), np.asarray(group["tile"]), np.asarray(group["rep"])
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        total = np.zeros(len(rep), dtype=np.int64)
-        for a in range(0, len(rep), 512):
-            near_ = unit[a : a + 512] @ unit.T >= threshold
-            if i != j:
-                near_ &= tile[a : a + 512, None] != tile
-            near_[np.arange(len(near_)), a + np.arange(len(near_))] = False
-            total[a : a + 512] = near_ @ weight
-        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(total)], names=["rep", "n"])
-
-    counted = arrow_groups(members, ["component", "i", "j"], ["rep"], count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+        tile, i, j = np.asarray(group["tile"]), group["i"][0].as_py(), group["j"][0].as_py()
+        if len(tile) < 2 or (i != j and (tile == tile[0]).all()):
+            return
+        rep = np.asarray(group["rep"])
+        total, connected = compare(_vectors(group["v"], kind), np.asarray(group["weight"]), tile, threshold, i == j)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.nulls(len(some), pa.int64()), pa.array(total[some])], names=["u", "v", "n"])
+        u, v = (rep[np.array(x, dtype=np.int64)] for x in (connected.u, connected.v))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names=["u", "v", "n"])
+
+    found = cut(arrow_groups(members, ["label", "len", "i", "j"], ["rep"], count, "u long, v long, n long"))
+    counted = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
+    families = components(found.where("n is null"), "u", "v")
     known = classes.select("label", "key", "rep", "weight").join(counted, "rep", "left").join(families.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("label", "key", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     got = each.select("vec_id", "label", "key").join(known, ["label", "key"], "left")

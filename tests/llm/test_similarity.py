@@ -147,6 +147,21 @@ def test_sorted_passes_reach_the_recall(spark):
     assert got >= 0.97 * sum(n.values())
 
 
+def test_hot_label_with_a_common_direction(spark):
+    rng = np.random.default_rng(4)
+    common_, own = unit(rng, 1, 64), unit(rng, 4000, 64)
+    a = np.sqrt(0.8) * common_ + np.sqrt(0.2) * own  # mutual cosines near 0.8
+    v = np.concatenate([a, a + 0.36 * unit(rng, 4000, 64)]).astype(np.float32)  # and pairs near the threshold
+    w = v.astype(np.float64)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    near = w @ w.T >= 0.93
+    np.fill_diagonal(near, False)
+    top = closure(range(len(v)), np.argwhere(near).tolist())
+    rows = pa.table({"vec_id": pa.array(range(len(v)), pa.int64()), "embedding": pa.array(v.tolist(), pa.list_(pa.float32())), "label": pa.array([0] * len(v), pa.int32())})
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.links(spark.createDataFrame(rows)).collect()}
+    assert near.sum() > 1000 and got == {i: (int(n), top[i]) for i, n in enumerate(near.sum(axis=1))}
+
+
 def scan_brute(docs, items, window=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     phrases = defaultdict(set)
