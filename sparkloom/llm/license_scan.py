@@ -1,7 +1,8 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines; a line over 32 words gives windows of 32 words, 16 apart.  A block matches a template if it
-holds at least ``threshold`` of the template's distinct words.  Template words are ordered by their document
+A run of 32 consecutive words, across lines, matches a template if it holds at least ``threshold`` of the
+template's distinct words.  Blocks are 63 words, 32 apart, so that every run lies in one of them; the join finds
+the blocks that hold enough of a template, whose runs are then looked through.  Template words are ordered by their document
 counts over all texts, the rarest first.  Candidates come from an equi-join on the first words of a template
 of which a match must hold one (prefix filter), less those with too few template words (length filter) or too
 few of them behind the common word (positional filter); the rest is verified.  All of it is DataFrame
@@ -38,7 +39,8 @@ TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
-BLOCK, STEP = 32, 16
+RUN = 32
+BLOCK, STEP = 32, 16  # of the SQL, which stays within lines
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,9 +75,10 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", phrases
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row.
 
     n_base: places of a phrase; first_word, last_word: smallest and largest start of one, in words from 0; base_labels:
-    labels of phrases; labels: those and the labels of matched blocks, sorted and comma-joined.  A block gives the
-    label of the template it holds the largest part of, the larger template of two, then the first label.  score: 1 with a
-    phrase, else the largest part of a template that a block holds, if a block matches, else 0.  Null, empty and
+    labels of phrases; labels: those and the labels of matches, sorted and comma-joined.  A match reaches from the first to the
+    last of its words, and as it cannot start later with the same words.  A match is left out if a better one (larger part of
+    its template, the larger template of two, then the first) covers most of its stretch.  score: 1 with
+    a phrase, else the largest part of a template that a run holds, if one matches, else 0.  Null, empty and
     wordless texts have zeros, nulls and empty labels.  Rows that share id and text have the same result; ids may be null.
     Other columns play no part; an empty table gives no rows.
     """
@@ -107,26 +110,49 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", phrases
         "doc_id", "h", (_blanks(F.col("s")) - 1).cast("long").alias("n_words"), places.cast("long").alias("n_base"),
         F.least(*starts, F.lit(None)).cast("long").alias("first_word"), F.greatest(*ends, F.lit(None)).cast("long").alias("last_word"),
         F.array_distinct(F.array_compact(F.array(*labels))).alias("base"),
-        F.when(has_head, F.col("low")).alias("low"),
+        F.when(has_head, F.col("s")).alias("s"),
     )
 
-    lines = base.where("low is not null").select("doc_id", "h", F.posexplode(F.split("low", "\n")).alias("line", "l"))
-    words = F.split(F.trim(_normal(F.col("l"))), " ")
-    cuts = F.when(F.size("w") <= BLOCK, F.array(F.col("w"))).otherwise(F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(STEP)), lambda i: F.slice("w", i, BLOCK)))
-    blocks = lines.select("doc_id", "h", "line", words.alias("w")).select("doc_id", "h", "line", F.posexplode(cuts).alias("cut", "b"))
+    own_words = base.where("s is not null").select("doc_id", "h", F.split(F.trim("s"), " ").alias("w"))
+    cuts = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(RUN)), lambda i: F.slice("w", i, 2 * RUN - 1))
+    blocks = own_words.select("doc_id", "h", F.posexplode(cuts).alias("block", "b"))
     blocks = blocks.where(F.arrays_overlap("b", F.array(*map(F.lit, first))))
     ranks = F.from_json(F.lit(json.dumps(rank)), "map<string, int>")
-    blocks = blocks.withColumn("b", F.array_sort(F.array_compact(F.transform(F.array_intersect("b", F.array(*map(F.lit, vocabulary))), lambda w: ranks[w]))))
+    in_order = F.transform("b", lambda w: ranks[w])  # null: in no template
+    blocks = blocks.select("doc_id", "h", "block", in_order.alias("at")).withColumn("b", F.array_sort(F.array_distinct(F.array_compact("at"))))
     common = blocks.select("*", F.size("b").alias("m"), F.posexplode("b").alias("q", "r"))
     common = common.join(F.broadcast(_table(spark, heads, "r: int, t: int, p: int, n: int, need: int")), "r")
     common = common.where((F.col("m") >= F.col("need")) & (1 + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) - 1 >= F.col("need")))
     pairs = common.join(F.broadcast(_table(spark, sets, "t: int, label: string, own: array<int>, need: int").drop("need")), "t")
-    pairs = pairs.withColumn("o", F.size(F.array_intersect("b", "own"))).where("o >= need")
-    best = F.max_by("label", F.struct((F.col("o") / F.col("n")).alias("part"), F.col("n"), (-F.col("t")).alias("t")))
-    found = pairs.groupBy("doc_id", "h", "line", "cut").agg(best.alias("label"), F.max(F.col("o") / F.col("n")).alias("part"))
+    both = F.array_intersect("b", "own")
+    pairs = pairs.where((F.size(both) >= F.col("need")) & (F.get(both, F.lit(0)) == F.col("r")))  # a pair once, at its first common word
+
+    def run(i: Column) -> Column:
+        """The template's words in the run from i, and the place of the last that is new in it."""
+        held = F.array_intersect("own", F.slice("at", i + 1, RUN))
+        last = F.array_max(F.transform(held, lambda w: F.array_position(F.slice("at", i + 1, RUN), w))).cast("int")
+        return F.struct(i.alias("i"), held.alias("held"), last.alias("size"))
+
+    starts = F.filter(F.sequence(F.lit(0), F.least(F.size("at"), F.lit(RUN)) - 1), lambda i: F.array_contains("own", F.get("at", i)))
+    enough = F.filter(F.transform(starts, run), lambda x: F.size(x["held"]) >= F.col("need"))
+    tight = F.filter(enough, lambda x: ~F.coalesce(F.array_contains(F.slice("at", x["i"] + 2, x["size"] - 1), F.get("at", x["i"])), F.lit(False)))
+    matches = pairs.select("doc_id", "h", "block", "t", "label", "n", F.explode(tight).alias("x"))
+    start = F.col("block") * RUN + F.col("x.i")
+    rank_of = F.struct((F.size("x.held") / F.col("n")).alias("part"), F.col("n"), (-F.col("t")).alias("t"))
+    match = F.struct("block", "label", rank_of.alias("rank"), start.alias("start"), (start + F.col("x.size")).alias("end"), F.col("x.held").alias("held"))
+    # What overlaps a match starts in its block or a neighbour; a set, as rows that share id and text give the same.
+    matches = matches.select("doc_id", "h", F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)).alias("k"), match.alias("match"))
+    placed = matches.groupBy("doc_id", "h", "k").agg(F.collect_set("match").alias("all"))
+
+    def explains(y: Column, x: Column) -> Column:
+        inside = F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
+        return (y["rank"] > x["rank"]) & (2 * inside > x["end"] - x["start"])
+
+    kept = F.filter("all", lambda x: (x["block"] == F.col("k")) & ~F.exists("all", lambda y: explains(y, x)))
+    found = placed.select("doc_id", "h", F.explode(kept).alias("x")).select("doc_id", "h", "x.label", F.col("x.rank.part").alias("part"))
     found = found.groupBy("doc_id", "h").agg(F.collect_set("label").alias("more"), F.max("part").alias("part"))  # at most as many labels as there are
     found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "more", "part")
-    got = base.drop("low").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    got = base.drop("s").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     join = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return got.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", join(F.col("base")).alias("base_labels"),

@@ -110,6 +110,18 @@ def test_licenses(spark, edge_docs, no_docs):
     assert license_scan.scan(edge_docs).count() == edge_docs.count() and license_scan.scan(no_docs).count() == 0
 
 
+def test_licenses_across_lines(spark):
+    notices = dict(license_scan.TEMPLATES)
+    wrap = lambda text, k: "\n".join(" ".join(text.split()[i : i + k]) for i in range(0, len(text.split()), k))
+    mit = license_scan.TEMPLATES[8][1].split()
+    texts = [wrap(license_scan.TEMPLATES[8][1], 13), wrap(notices["bsd"], 10), "x\n" + wrap(notices["mpl-2"], 12), f"{prose(1, 200)} " + " one ".join([" ".join(mit[:5]), " ".join(mit[5:11]), " ".join(mit[11:])])]
+    texts += [prose(k, k) + " " + wrap(notices["gpl-3"], 5) + "\n" + prose(k, 50) for k in range(16, 60, 3)]  # wherever the notice lies in a block
+    texts += ["\n".join(mit[0:8]) + " " + prose(4, 40) + " " + " ".join(mit[8:])]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(len(texts))] == ["mit", "bsd", "mpl-2", "mit"] + ["gpl-3"] * 15 + [""]
+    assert [got[i].score for i in (0, 3, len(texts) - 1)] == [1.0, 1.0, 0.0]
+
+
 def test_token_counts_equal_brute_force(edge_docs, no_docs):
     v = token_count.Vocabulary.from_ranks(["▁", "a", "b", "ab", "▁a", "ba", "aba", "é", "▁ab"])
     score = dict(zip(v.pieces, v.scores.tolist()))
