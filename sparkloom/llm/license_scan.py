@@ -77,7 +77,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", phrases
     n_base: places of a phrase; first_word, last_word: smallest and largest start of one, in words from 0; base_labels:
     labels of phrases; labels: those and the labels of matches, sorted and comma-joined.  A match reaches from the first to the
     last of its words, and as it cannot start later with the same words.  A match is left out if a better one (larger part of
-    its template, the larger template of two, then the first) covers most of its stretch.  score: 1 with
+    its template, the larger template of two, then the first) has all its words and most of its stretch.  score: 1 with
     a phrase, else the largest part of a template that a run holds, if one matches, else 0.  Null, empty and
     wordless texts have zeros, nulls and empty labels.  Rows that share id and text have the same result; ids may be null.
     Other columns play no part; an empty table gives no rows.
@@ -146,7 +146,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", phrases
 
     def explains(y: Column, x: Column) -> Column:
         inside = F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
-        return (y["rank"] > x["rank"]) & (2 * inside > x["end"] - x["start"])
+        return (y["rank"] > x["rank"]) & (2 * inside > x["end"] - x["start"]) & (F.size(F.array_except(x["held"], y["held"])) == 0)
 
     kept = F.filter("all", lambda x: (x["block"] == F.col("k")) & ~F.exists("all", lambda y: explains(y, x)))
     found = placed.select("doc_id", "h", F.explode(kept).alias("x")).select("doc_id", "h", "x.label", F.col("x.rank.part").alias("part"))

@@ -122,6 +122,16 @@ def test_licenses_across_lines(spark):
     assert [got[i].score for i in (0, 3, len(texts) - 1)] == [1.0, 1.0, 0.0]
 
 
+def test_all_notices_of_a_place(spark):
+    gpl = "this work is licensed under the gnu general public license version"
+    texts = [
+        f"licensed under cc by 4.0 or, {gpl} 3", f"{gpl} 2\n{gpl} 3", "licensed under cc by 4.0, licensed under cc by nc 4.0", "Licensed under CC BY-NC 4.0",
+        f"{gpl} 3 and version 3 of {gpl} 3", f"released under the mit license {gpl.replace('general', 'lesser general')} 3", f"the version {prose(1, 2)} {gpl} 3",
+    ]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases=(("no such phrase", "none"),)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["cc-by,gpl-3", "gpl-2,gpl-3", "cc-by,cc-by-nc", "cc-by-nc", "gpl-3", "lgpl-3,mit", "gpl-3"]
+
+
 def test_token_counts_equal_brute_force(edge_docs, no_docs):
     v = token_count.Vocabulary.from_ranks(["▁", "a", "b", "ab", "▁a", "ba", "aba", "é", "▁ab"])
     score = dict(zip(v.pieces, v.scores.tolist()))
