@@ -10,9 +10,9 @@ threshold of p per cent only if their difference is at most (100 - p)(a + b) / (
 3. Candidates.  N-grams are hashed into groups of a second kind, whose counts are points of an R-tree; the sum of
    coordinate minima bounds the overlap of two points, or of two boxes.  Points that meet and keep the bound
    are candidates, and connected candidates are the units of the search.  Nothing is lost so far.
-4. Search.  In a unit the pairs that keep the bound are verified on the sets; a pair whose ends are
-   linked already is not verified again.  Of meetings and units over ``tile_rows`` documents, pairs of tiles are tasks.
-5. Verified links and copies are joined to components.
+4. Search.  In a unit each set stands once, with the number of its rows, and all pairs that keep the bound are verified
+   on the sets.  Of meetings and units over ``tile_rows`` documents, pairs of tiles are tasks.
+5. Links are counted; those that connect something and copies are joined to components.
 
 N-grams are compared by 64-bit hashes.
 """
@@ -33,6 +33,7 @@ from .common import arrow_groups, components, cut, rows_of_groups, table
 
 GROUPS = 64
 _RATIO = 1.35
+GRAMS_AT_ONCE = 4_000_000
 
 
 def ngram_sets(raw: np.ndarray, off: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -217,8 +218,11 @@ def candidates_of(counts: np.ndarray, percent: int, tile: np.ndarray | None = No
     return [(top(x), x) for x in range(len(counts)) if top(x) != x]
 
 
-def links_of(sets: list[np.ndarray], percent: int, tile: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Of what links connect, each set with the first one.  tile: pairs within one tile are left out."""
+def verified(sets: list[np.ndarray], percent: int, weight: np.ndarray, tile: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of what links connect, each set with the first one; and of each set the summed weights of those it links with.
+
+    tile: pairs within one tile are left out.
+    """
     parent = list(range(len(sets)))
 
     def top(x: int) -> int:
@@ -227,25 +231,46 @@ def links_of(sets: list[np.ndarray], percent: int, tile: np.ndarray | None = Non
             x = parent[x]
         return x
 
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    distinct, gram = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(distinct), dtype=bool)
+    total = np.zeros(len(sets), dtype=np.int64)
     counts = common_groups([count_vector(s) for s in sets])
     for xs, ys in CountTree(counts, percent).pairs():
         x = int(xs[0])
-        for y in ys.tolist():
-            if tile is not None and tile[x] == tile[y]:
-                continue
-            a, b = top(x), top(y)
-            if a != b and (100 + percent) * overlap(sets[x], sets[y]) >= percent * (len(sets[x]) + len(sets[y])):
+        ys = ys[size[ys] > 0] if tile is None else ys[(size[ys] > 0) & (tile[ys] != tile[x])]
+        if not size[x] or not len(ys):
+            continue
+        mark[gram[off[x] : off[x + 1]]] = True
+        part = np.cumsum(size[ys]) // GRAMS_AT_ONCE
+        for own in np.split(ys, np.flatnonzero(part[1:] != part[:-1]) + 1):
+            end = np.cumsum(size[own])
+            at = np.arange(end[-1]) + np.repeat(off[own] - (end - size[own]), size[own])
+            common = np.add.reduceat(mark[gram[at]], end - size[own], dtype=np.int64)
+            hit = own[(100 + percent) * common >= percent * (size[x] + size[own])]
+            total[x] += weight[hit].sum()
+            total[hit] += weight[x]
+            for y in hit.tolist():
+                a, b = top(x), top(y)
                 parent[max(a, b)] = min(a, b)
-    return [(top(x), x) for x in range(len(sets)) if top(x) != x]
+        mark[gram[off[x] : off[x + 1]]] = False
+    return [(top(x), x) for x in range(len(sets)) if top(x) != x], total
+
+
+def links_of(sets: list[np.ndarray], percent: int, tile: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Of what links connect, each set with the first one.  tile: pairs within one tile are left out."""
+    return verified(sets, percent, np.ones(len(sets), np.int64), tile)[0]
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, tile_rows: int = 2048) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, n_links) for each row of ``docs``.
 
     Words are what stands between blanks, A-Z lower-cased.  component_id: the smallest doc_id that links
     reach, the own one included.  Texts that are null, empty or blank have an empty set and link with
     nothing.  Rows that share a doc_id are one node of the graph; a row with a null doc_id is returned
-    with its size and no component.  An empty table gives no rows; other columns play no part.
+    with its size, no component and no links.  n_links counts the other rows with an id whose sets reach the
+    threshold with the row's own, copies included.  An empty table gives no rows; other columns play no part.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key_type = dict(source.dtypes)["doc_id"]
@@ -296,8 +321,9 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     met = source.mapInArrow(signatures, f"sig long, f1 long, doc_id {key_type}")
     same = [F.min("f1").over(by_sig).alias("lo"), F.max("f1").over(by_sig).alias("hi"), F.count("*").over(by_sig).alias("m"), F.bit_xor(F.xxhash64("doc_id")).over(by_sig).alias("who")]
     # Meetings of the same documents are one: what names a meeting is its size and the documents in it.
-    met = met.select("doc_id", *same).where("lo <> hi").select("who", "doc_id", F.col("m"), F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"))
-    met = cut(met.distinct().select(F.xxhash64("who", "m").alias("meeting"), "doc_id", "tiles"))
+    met = met.select("doc_id", "f1", *same).where("lo <> hi").select("who", "doc_id", "f1", F.col("m"), F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"))
+    met = cut(met.distinct().select(F.xxhash64("who", "m").alias("meeting"), "doc_id", "f1", "tiles"))
+    given = met.select("doc_id", "f1").distinct()
 
     tiled = lambda df, *key: df.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         key[0], F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", *key[1:]
@@ -320,31 +346,47 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
 
     arrow_key = to_arrow_type(source.schema["doc_id"].dataType)
     order = ["meeting", "i", "j", "doc_id"]
-    vectors = known.select("doc_id", "counts").join(met.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
-    spots = tiled(met.join(vectors, "doc_id"), "meeting", "doc_id", "counts").repartition(*order[:3]).sortWithinPartitions(*order)
+    vectors = known.select("doc_id", "f1", "counts").join(given, ["doc_id", "f1"], "left_semi").distinct()
+    spots = tiled(met.join(vectors, ["doc_id", "f1"]), "meeting", "doc_id", "counts").repartition(*order[:3]).sortWithinPartitions(*order)
     families = cut(components(spots.mapInArrow(meet, f"u {key_type}, v {key_type}"), "u", "v"))
     sized = families.join(families.groupBy("component").agg(F.count("*").alias("m")), "component")
+    weights = known.groupBy("f1").agg(F.count("*").alias("weight"))
+    # All rows of a set that gave signatures are in one family, as they met wherever one of them did: each set once.
     members = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"))
+    members = members.join(given, "doc_id").groupBy("f1").agg(F.min(F.struct("doc_id", "family", "tiles")).alias("x")).join(weights, "f1").select("x.*", "f1", "weight")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = T.text_buffers(batch.column(1))
-            data = [s.tobytes() for _, s in ngram_sets(raw, off, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(data, pa.binary())], names=["doc_id", "family", "tiles", "grams"])
+            f1 = batch.column(4).to_pylist()
+            rows, data = [], []
+            for r, s in ngram_sets(raw, off, n):
+                if set_id(s, 1) == f1[r]:  # of rows that share an id, those with the set that is meant
+                    rows.append(r), data.append(s.tobytes())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (0, 2, 3, 4, 5)), pa.array(data, pa.binary())], names=["doc_id", "family", "tiles", "f1", "weight", "grams"])
 
-    texts = source.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "family", "tiles")
-    placed = tiled(texts.mapInArrow(sets, f"doc_id {key_type}, family {key_type}, tiles int, grams binary"), "family", "doc_id", "grams")
+    texts = source.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "family", "tiles", "f1", "weight")
+    placed = tiled(texts.mapInArrow(sets, f"doc_id {key_type}, family {key_type}, tiles int, f1 long, weight long, grams binary"), "family", "doc_id", "f1", "weight", "grams")
 
     def search(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        grams = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["grams"]]
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        found = links_of(grams, percent, np.asarray(group["tile"]) if i != j else None)
-        ids = group["doc_id"].combine_chunks()
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array([x[k] for x in found], pa.int64())) for k in (0, 1)], names=["u", "v"])
-
-    links = arrow_groups(placed, ["family", "i", "j"], ["doc_id"], search, f"u {key_type}, v {key_type}")
-    nodes = components(copies.unionByName(links), "u", "v").withColumnRenamed("node", "doc_id")
-    return each.join(nodes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        group = group.take(pa.array(np.sort(np.unique(np.asarray(group["f1"]), return_index=True)[1])))  # repeated rows
+        grams = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["grams"]]
+        found, total = verified(grams, percent, np.asarray(group["weight"]), np.asarray(group["tile"]) if i != j else None)
+        ids, some = group["doc_id"].combine_chunks(), np.flatnonzero(total)
+        none = lambda k, kind: pa.nulls(k, kind)
+        ends = [ids.take(pa.array([x[k] for x in found], pa.int64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*ends, none(len(found), pa.int64()), none(len(found), pa.int64())], names=["u", "v", "f1", "n"])
+        counted = group["f1"].combine_chunks().take(pa.array(some)), pa.array(total[some])
+        yield pa.RecordBatch.from_arrays([none(len(some), ids.type), none(len(some), ids.type), *counted], names=["u", "v", "f1", "n"])
+
+    found = cut(arrow_groups(placed, ["family", "i", "j"], ["doc_id"], search, f"u {key_type}, v {key_type}, f1 long, n long"))
+    nodes = components(copies.unionByName(found.where("n is null").select("u", "v")), "u", "v").withColumnRenamed("node", "doc_id")
+    linked = weights.join(found.where("n is not null").groupBy("f1").agg(F.sum("n").alias("n")), "f1", "left").select("f1", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    got = each.select("doc_id", "n_shingles", "f1").join(linked.where("n_links > 0"), "f1", "left").join(nodes, "doc_id", "left")
+    n_links = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("n_links"))
+    return got.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
@@ -358,7 +400,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return join(table(spark, sf_dir, "documents"), n=3, percent=90).drop("n_links")  # the columns of the SQL
 
 
 SQL = r"""

@@ -62,6 +62,18 @@ def test_join_equals_brute_force(spark, n, percent, tile):
     assert got == {i: (size[i], want[i]) for i in want}
 
 
+@pytest.mark.parametrize("percent, tile", [(80, 2048), (80, 3)])
+def test_join_counts_all_links(spark, percent, tile):
+    rows = near_copies(7 + tile) + [(5000 + i, " ".join(WORDS[:25]) + (f" x{i // 2}" if i % 4 else "")) for i in range(30)]
+    rows += [(5000, prose(5, 40)), (6000, prose(5, 40)), (6000, prose(5, 40)), (None, prose(5, 40)), (6001, prose(5, 39) + " other"), (6002, ""), (6003, None)]
+    sets = [shingles(t, 5) if i is not None else set() for i, t in rows]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    want = sorted(((i, len(a) if i is not None else 36, sum(linked(a, b) for k, b in enumerate(sets) if k != j)) for j, ((i, _), a) in enumerate(zip(rows, sets))), key=repr)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in ngram_join.join(docs, n=5, percent=percent, tile_rows=tile).collect()), key=repr) == want
+    assert max(w[2] for w in want) > 20
+
+
 def test_join_edges(edge_docs, no_docs):
     got = ngram_join.join(edge_docs, n=3, percent=90).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted([(1, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1), (8, 8), (None, None)], key=repr)
