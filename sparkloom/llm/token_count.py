@@ -1,7 +1,7 @@
 """Token counts under a unigram vocabulary, by dynamic programming over a trie of pre-tokens.
 
-A pre-token is a run without white space, with the word mark before it; runs over ``max_bytes`` are cut at
-character boundaries.  The distinct pre-tokens of a block of texts form a trie.  Level by level, the best
+A pre-token is a run without white space, with the word mark before it.  The distinct pre-tokens of a block of
+texts form a trie; those over ``LONG`` bytes are segmented one by one instead, by a plain dynamic program.  Level by level, the best
 score of each trie node (the forward score of its prefix) is found once for all pre-tokens that share it;
 a pre-token's count is stored at its terminal node.  Counts of a text are sums over its pre-tokens.
 
@@ -24,6 +24,7 @@ from .common import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
+LONG, AT_ONCE = 256, 1 << 16
 
 
 @dataclass
@@ -104,18 +105,57 @@ def terminal_counts(buf: np.ndarray, start: np.ndarray, end: np.ndarray, v: Voca
     return out
 
 
+def plain_counts(buf: np.ndarray, length: np.ndarray, v: Vocabulary) -> list[int]:
+    """The same as terminal_counts for spans that fill ``buf`` one after the other, in time in proportion to its bytes."""
+    spans = T.Spans(buf)
+    depth = np.arange(len(buf)) - np.repeat(np.cumsum(length) - length, length) + 1  # bytes of a span up to each
+    out: list[int] = []
+    keep = v.longest
+    best, count = [0.0], [0]  # of the last positions
+    for a in range(1, len(buf) + 1, AT_ONCE):
+        ends = np.arange(a, min(a + AT_ONCE, len(buf) + 1))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in sorted({1, *v.by_length}):
+            own = ends[depth[ends - 1] >= k]
+            gain = np.full(len(own), v.byte_score if k == 1 else -np.inf)
+            if k in v.by_length and len(own):
+                h, s = v.by_length[k]
+                got = spans.hash(own - k, own)
+                at = np.minimum(np.searchsorted(h, got), len(h) - 1)
+                hit = h[at] == got
+                gain[hit] = s[at[hit]]
+            some = np.isfinite(gain)
+            found.append((own[some], np.full(int(some.sum()), k), gain[some]))
+        end, size, gain = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        last = a - 1
+        for e, k, g in zip(end[order].tolist(), size[order].tolist(), gain[order].tolist(), strict=True):
+            if e != last:
+                if depth[e - 1] == 1 and e > 1:
+                    out.append(count[-1])
+                    best, count = [0.0], [0]
+                best.append(-np.inf), count.append(0)
+                last = e
+            at = k + 1  # from the end, where the entry of e itself stands
+            total, pieces = best[-at] + g, count[-at] + 1
+            if total > best[-1] or (total == best[-1] and pieces < count[-1]):
+                best[-1], count[-1] = total, pieces
+        best, count = best[-keep:], count[-keep:]
+    return [*out, count[-1]]
+
+
 class Counter:
     """Counts of texts; what distinct pre-tokens cost is kept for the later blocks of a task."""
 
     KEPT = 2_000_000
 
-    def __init__(self, vocabulary: Vocabulary, max_bytes: int = 256):
+    def __init__(self, vocabulary: Vocabulary, max_bytes: int | None = None):
         self.v, self.max_bytes = vocabulary, max_bytes
         self.known, self.cost = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def _cut(self, w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, row, first stretch of its run?) with long runs cut."""
-        long = np.flatnonzero(w.end - w.start > self.max_bytes)
+        long = np.flatnonzero(w.end - w.start > self.max_bytes) if self.max_bytes is not None else []
         if not len(long):
             return w.start, w.end, w.row, np.ones(len(w.start), bool)
         more: list[tuple[int, int, int, bool]] = []
@@ -156,18 +196,24 @@ class Counter:
             head = inner < np.repeat(mark, size)
             buf[~head] = w.raw[source[~head]]
             buf[head] = np.frombuffer(MARK, np.uint8)[inner[head]]
+            long = size > LONG
+            cost = np.empty(len(at), dtype=np.int64)
+            cost[~long] = terminal_counts(buf, a[~long], b[~long], self.v)
+            if long.any():
+                cost[long] = plain_counts(buf[np.repeat(long, size)], size[long], self.v)
             known = np.concatenate([self.known, distinct[new]])
             order = np.argsort(known, kind="stable")
-            self.cost = np.concatenate([self.cost, terminal_counts(buf, a, b, self.v)])[order]
+            self.cost = np.concatenate([self.cost, cost])[order]
             self.known = known[order]
         cost = self.cost[np.searchsorted(self.known, distinct)][inverse] if len(distinct) else np.empty(0)
         return np.bincount(row, minlength=n).astype(np.int64), np.bincount(row, cost, n).astype(np.int64)
 
 
-def count_tokens(docs: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 256) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "doc_id", text: str = "text", max_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for each row; null, empty and blank texts have none.
 
-    Ids may be null or repeated; an empty table gives no rows; other columns play no part.
+    max_bytes: longer runs are cut at character boundaries and their stretches counted as pre-tokens, which is not the best
+    segmentation of the run; by default none is cut.  Ids may be null or repeated; an empty table gives no rows; other columns play no part.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 

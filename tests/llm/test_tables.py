@@ -164,6 +164,27 @@ def test_long_runs_are_cut_at_characters():
     assert words.tolist() == [-(-200 // 15), 1] and tokens.tolist() == [201, 2]
 
 
+def test_long_runs_are_not_cut(spark):
+    import random
+
+    v = token_count.load()
+    score = dict(zip(v.pieces, v.scores.tolist()))
+    r = random.Random(1)
+    joined = ["".join(p.decode(errors="ignore").replace("▁", "") for p in r.sample(v.pieces, 200)) for _ in range(12)] + ["日本語" * 300, "é" * 129, "a" * 253, "a" * 254]
+
+    def best(word):
+        b, way = token_count.MARK + word.encode(), [(0.0, 0)]
+        for i in range(1, len(b) + 1):
+            way.append(max((way[i - k][0] + score.get(b[i - k : i], v.byte_score), way[i - k][1] - 1) for k in range(1, min(i, v.longest) + 1) if k == 1 or b[i - k : i] in score))
+        return -way[-1][1]
+
+    texts = [x for x in joined if len(x.split()) == 1]
+    texts += [" ".join([texts[0], "short", texts[1]])]
+    got = token_count.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), v).collect()
+    assert sorted(tuple(r) for r in got) == [(i, len(t.split()), sum(map(best, t.split()))) for i, t in enumerate(texts)]
+    assert len(texts) > 8
+
+
 SQL_NAMES = ["op3_embedding_dedup", "op5_ngram_join", "op7_license_scan", "op8_mixing", "op9_sharding", "op10_decontamination"]
 
 
