@@ -1,7 +1,7 @@
 """Token ids packed into rows of one length.
 
 Texts are encoded by a byte-level BPE whose rank file the caller names; distinct pre-tokens are encoded once
-a task.  A document's ids end with the end id.  Documents longer than a row are split without loss.  Pieces
+a task, known again by their bytes.  A document's ids end with the end id.  Documents longer than a row are split without loss.  Pieces
 are then packed best-fit-decreasing: the longest first, each into the fullest row that still holds it, which
 a segment tree over free capacities finds.  Packing needs no exchange: a task packs groups of consecutive
 documents of its partition (``group_tokens`` at a time), so its memory is bounded and a lost task is redone
@@ -32,7 +32,7 @@ _SPACE = ~T.SPACE_WORDS
 class Encoder:
     """Byte-level BPE; ids of whole texts, each distinct span between white space encoded once."""
 
-    KEPT = 1_000_000
+    KEPT = 500_000
 
     def __init__(self, ranks_file: bytes):
         import tiktoken
@@ -43,7 +43,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.empty(0, np.uint64)  # sorted hashes of spans; their ids are flat[at : at + size]
+        self.known: dict[bytes | tuple[bytes], int] = {}  # number of each span; its ids are flat[at : at + size]
         self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.int32)
 
@@ -80,46 +80,41 @@ class Encoder:
             order = np.argsort(start, kind="stable")
             start, end, row = start[order], end[order], row[order]
         whole = np.isin(row, odd)
-        distinct, where, inverse = np.unique(T.span_hashes(buf, start, end), return_index=True, return_inverse=True)
+        where, inverse = T.distinct_spans(buf, start, end)
         if len(self.known) > self.KEPT:
             self._forget()
-        self._learn(buf, start[where], end[where], distinct, whole[where])
-        slot = np.searchsorted(self.known, distinct)[inverse]
+        slot = self._learn(buf, start[where], end[where], whole[where])[inverse]
         own = self.size[slot]
         out = self.flat[np.repeat(self.at[slot] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
         return out, np.bincount(row, own, len(rel) - 1).astype(np.int64)
 
-    def _learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, whole: np.ndarray) -> None:
-        """Encodes the spans whose hashes are not known yet."""
-        new = self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] != h if len(self.known) else np.ones(len(h), bool)
-        start, end, h, whole = start[new], end[new], h[new], whole[new]
-        if not len(h):
-            return
-        plain = ~whole & ~_SPACE[buf[end - 1]]
-        a, size = start[plain], (end - start)[plain] + 1
-        joined = np.full(int(size.sum()), 0x0A, dtype=np.uint8)  # a line feed is a pre-token of its own between such spans
-        inside = np.ones(len(joined), dtype=bool)
-        inside[np.cumsum(size) - 1] = False
-        joined[inside] = buf[(np.repeat(a - (np.cumsum(size) - size), size) + np.arange(len(joined)))[inside]]
-        try:
-            ids = np.array(self.bpe.encode_ordinary(joined.tobytes().decode()), dtype=np.int32)
-        except UnicodeDecodeError:
-            ids = np.empty(0, np.int32)
-        stops = np.flatnonzero(ids == self.ranks[b"\n"])
-        if len(stops) != len(a):  # some span is no UTF-8 text
-            plain[:] = False
-            ids = stops = np.empty(0, np.int32)
-        lists = [self.one(buf[x:y].tobytes()) for x, y in zip(start[~plain].tolist(), end[~plain].tolist(), strict=True)]
-        at, count = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
-        begin = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
-        at[plain], count[plain] = begin, stops - begin
-        count[~plain] = [len(x) for x in lists]
-        at[~plain] = len(ids) + np.cumsum(count[~plain]) - count[~plain]
-        at += len(self.flat)
-        self.flat = np.concatenate([self.flat, ids, np.array([x for y in lists for x in y], dtype=np.int32)])
-        known = np.concatenate([self.known, h])
-        order = np.argsort(known, kind="stable")
-        self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, count])[order]
+    def _learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Numbers of distinct spans; those that are not known yet are encoded, in one call as far as they can be."""
+        content = [buf[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        # A span seen as a whole text may hold white space that ends a pre-token elsewhere: it has a key of its own.
+        keys = [(c,) if w else c for c, w in zip(content, whole.tolist(), strict=True)]
+        new = [i for i, k in enumerate(keys) if k not in self.known]
+        plain = [i for i in new if not whole[i] and not _SPACE[buf[end[i] - 1]]]
+        ids = np.empty(0, np.int32)
+        stops = np.empty(0, np.int64)
+        if plain:  # a line feed is a pre-token of its own between such spans
+            try:
+                ids = np.array(self.bpe.encode_ordinary(b"\n".join([*(content[i] for i in plain), b""]).decode()), dtype=np.int32)
+                stops = np.flatnonzero(ids == self.ranks[b"\n"])
+            except UnicodeDecodeError:
+                pass
+            if len(stops) != len(plain):  # some span is no UTF-8 text
+                plain, ids, stops = [], np.empty(0, np.int32), np.empty(0, np.int64)
+        joined = set(plain)
+        lists = [(i, self.one(content[i])) for i in new if i not in joined]
+        begin = np.concatenate([[0], stops[:-1] + 1]).astype(np.int64) if len(stops) else stops
+        size = np.array([len(x) for _, x in lists], dtype=np.int64)
+        at = np.concatenate([begin, len(ids) + np.cumsum(size) - size]) + len(self.flat)
+        for number, i in enumerate([*plain, *(i for i, _ in lists)], len(self.known)):
+            self.known[keys[i]] = number
+        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, stops - begin, size])
+        self.flat = np.concatenate([self.flat, ids, np.array([x for _, y in lists for x in y], dtype=np.int32)])
+        return np.array([self.known[k] for k in keys], dtype=np.int64)
 
     @staticmethod
     def _odd_rows(buf: np.ndarray, rel: np.ndarray) -> np.ndarray:

@@ -1,13 +1,14 @@
 """Vectorised text handling on Arrow string buffers.
 
 Everything here works on raw UTF-8 bytes: the word classes used by the operators are cut at ASCII
-bytes only, so a byte table decides membership and no text has to be decoded.  A word is identified
-by a 64-bit polynomial hash (random value for each byte, odd base, finalised by a mixer); equal words always
-have equal hashes, and callers that need certainty compare the bytes of what matched.
+bytes only, so a byte table decides membership and no text has to be decoded.  A word has a 64-bit hash, made of
+blocks of eight bytes that go through a mixer one after the other; equal words always have equal hashes, and
+callers that need certainty compare the bytes of what matched (``distinct_spans``).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,27 +34,10 @@ ALNUM_WORDS = _table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        out = np.empty(size, dtype=np.uint64)
-        out[0], filled = 1, 1
-        with np.errstate(over="ignore"):
-            while filled < size:
-                step = min(filled, size - filled)
-                out[filled : filled + step] = out[:step] * U64(pow(base, filled, 2**64))
-                filled += step
-        if size > CHUNK_BYTES + 1:
-            return out  # for one very long text: not kept
-        _powers[name] = have = out
-    return have
+_ODD = 0x9E3779B97F4A7C15
+#: Spans of more bytes are hashed one by one, by BLAKE2.
+LONG_SPAN = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -90,26 +74,78 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-class Spans:
-    """Hashes of spans of some bytes; the same bytes have the same hash wherever they stand."""
+def eight_bytes(buf: np.ndarray) -> np.ndarray:
+    """At each place of ``buf`` the eight bytes from there on as one number, zeros behind the end; one more entry than bytes."""
+    out = np.zeros(len(buf) + 9, dtype=np.uint64)
+    out[: len(buf)] = buf
+    for k in (1, 2, 4):
+        out[:-k] |= out[k:] << U64(8 * k)
+    return out[: len(buf) + 1]
 
-    def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        with np.errstate(over="ignore"):
-            value = _BYTE_VALUE[buf]
-            value *= _power_table("up", _BASE, n)[:n]
-            self.total = np.empty(n + 1, dtype=np.uint64)
-            self.total[0] = 0
-            np.cumsum(value, out=self.total[1:])
-        self.down = _power_table("down", _BASE_INV, n + 1)
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.total[end] - self.total[start]) * self.down[start])
+def _block(eight: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The numbers at ``at``, cut to the ``left`` bytes that still belong to the span."""
+    return eight[at] & _MASK[np.minimum(left, 8)]
+
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, eight: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of spans; the same bytes have the same hash wherever they stand.  ``eight``: eight_bytes(buf), where it is there already.
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return Spans(buf).hash(start, end)
+    Eight bytes at a time go through the mixer together with what came before, so that no arrangement of blocks
+    cancels out as in a sum; spans of up to eight bytes and one length never share a hash.
+    """
+    length = end - start
+    eight = eight_bytes(buf) if eight is None else eight
+    with np.errstate(over="ignore"):
+        out = length.astype(np.uint64) * U64(_ODD)
+        out = mix(out ^ _block(eight, start, length))
+        alive = np.flatnonzero((length > 8) & (length <= LONG_SPAN))
+        done = 8
+        while len(alive):
+            out[alive] = mix(out[alive] * U64(_ODD) + _block(eight, start[alive] + done, length[alive] - done))
+            done += 8
+            alive = alive[length[alive] > done]
+    for i in np.flatnonzero(length > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(buf: np.ndarray, start: np.ndarray, other: np.ndarray, length: np.ndarray, eight: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``start`` and from ``other`` on are the same, over ``length`` bytes."""
+    out = np.ones(len(start), dtype=bool)
+    alive, done = np.flatnonzero((start != other) & (length > 0) & (length <= LONG_SPAN)), 0
+    while len(alive):
+        left = length[alive] - done
+        same = _block(eight, start[alive] + done, left) == _block(eight, other[alive] + done, left)
+        out[alive[~same]] = False
+        done += 8
+        alive = alive[same & (left > 8)]
+    for i in np.flatnonzero((start != other) & (length > LONG_SPAN)).tolist():
+        out[i] = np.array_equal(buf[start[i] : start[i] + length[i]], buf[other[i] : other[i] + length[i]])
+    return out
+
+
+def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a span for each distinct content, for each span the number of its content), decided by the bytes themselves.
+
+    Hashes only put spans together; each is then compared with the one that stands for it, and what differs is
+    sorted out by its bytes.
+    """
+    eight = eight_bytes(buf)
+    _, where, inverse = np.unique(span_hashes(buf, start, end, eight), return_index=True, return_inverse=True)
+    length, one = end - start, where[inverse]
+    other = np.flatnonzero((length != length[one]) | ~same_spans(buf, start, start[one], np.minimum(length, length[one]), eight))
+    if len(other):
+        number: dict[bytes, int] = {}
+        more: list[int] = []
+        for i in other.tolist():
+            key = buf[start[i] : end[i]].tobytes()
+            if key not in number:
+                number[key] = len(where) + len(more)
+                more.append(i)
+            inverse[i] = number[key]
+        where = np.concatenate([where, np.array(more, dtype=where.dtype)])
+    return where, inverse
 
 
 class Words:
@@ -150,9 +186,7 @@ class Words:
 def word_hash(word: bytes) -> int:
     """Hash of one lower-cased word, as Words gives it."""
     raw = np.frombuffer(word, dtype=np.uint8)
-    with np.errstate(over="ignore"):
-        value = _BYTE_VALUE[raw] * _power_table("up", _BASE, len(raw))[: len(raw)]
-        return int(mix(np.array([value.sum(dtype=np.uint64)]))[0])
+    return int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -163,6 +197,6 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     out = np.full(m, 0x51_7C_C1_B7_27_22_0A_95 * (n + 1) % 2**64, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            out = (out ^ h[k : k + m]) * U64(_BASE)
+            out = (out ^ h[k : k + m]) * U64(_ODD)
             out ^= out >> U64(29)
     return mix(out)

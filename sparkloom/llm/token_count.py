@@ -36,15 +36,29 @@ class Vocabulary:
     byte_score: float
 
     def __post_init__(self) -> None:
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         length = np.array([len(p) for p in self.pieces])
         for n in np.unique(length).tolist():
             at = np.flatnonzero(length == n)
             h = np.array([T.word_hash(self.pieces[i]) for i in at], dtype=np.uint64)
             order = np.argsort(h)
-            self.by_length[n] = h[order], self.scores[at][order]
+            content = np.frombuffer(b"".join(self.pieces[i] for i in at[order]), dtype=np.uint8).reshape(-1, n)
+            self.by_length[n] = h[order], self.scores[at][order], content
         self.longest = max(self.by_length, default=1)
 
+    def gains(self, k: int, buf: np.ndarray, end: np.ndarray, eight: np.ndarray) -> np.ndarray:
+        """Score of the piece of k bytes that ends at each place, minus infinity where there is none."""
+        out = np.full(len(end), self.byte_score if k == 1 else -np.inf)
+        if k in self.by_length and len(end):
+            h, score, content = self.by_length[k]
+            got = T.span_hashes(buf, end - k, end, eight)
+            at = np.minimum(np.searchsorted(h, got), len(h) - 1)
+            hit = np.flatnonzero(h[at] == got)
+            if k > 8 and len(hit):  # up to eight bytes a hash has one content
+                hit = hit[(buf[end[hit, None] - k + np.arange(k)] == content[at[hit]]).all(axis=1)]
+            out[hit] = score[at[hit]]
+        return out
+
     @classmethod
     def from_ranks(cls, pieces: list[str]) -> Vocabulary:
         """Pieces in order of rank, with the log probabilities of Zipf's law."""
@@ -54,18 +68,30 @@ class Vocabulary:
 
 
 def load(path: str = TOKENIZER) -> Vocabulary:
-    """The ordinary pieces of a sentencepiece file, read on the driver; tasks get them with the operator."""
+    """The ordinary pieces of a sentencepiece file, read on the driver; tasks get them with the operator.
+
+    A unigram file has log probabilities, which are taken as they are.  A file of merges has none, only ranks (its scores
+    are 0, -1, -2, ...); as tokenizers aren't trained here, its log probabilities follow from the ranks by Zipf's law.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return Vocabulary.from_ranks([sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))])
+    some = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    return of_scores([sp.id_to_piece(i) for i in some], np.array([sp.get_score(i) for i in some]))
+
+
+def of_scores(pieces: list[str], scores: np.ndarray) -> Vocabulary:
+    """Pieces with the scores of their file, which are log probabilities or negative ranks in order."""
+    if np.array_equal(scores, -np.arange(len(scores))):
+        return Vocabulary.from_ranks(pieces)
+    return Vocabulary([p.encode() for p in pieces], np.asarray(scores, dtype=float), float(np.min(scores, initial=0.0)) - 10)
 
 
 def terminal_counts(buf: np.ndarray, start: np.ndarray, end: np.ndarray, v: Vocabulary) -> np.ndarray:
     """Pieces of the best segmentation of each span of ``buf``."""
     n = len(start)
     out = np.zeros(n, dtype=np.int64)
-    spans = T.Spans(buf)
+    eight = T.eight_bytes(buf)
     length = end - start
     alive = np.flatnonzero(length > 0)
     node = np.zeros(n, dtype=np.int64)  # trie node of each span at the present depth
@@ -85,14 +111,7 @@ def terminal_counts(buf: np.ndarray, start: np.ndarray, end: np.ndarray, v: Voca
             if k not in v.by_length and k > 1:
                 continue
             before = nodes[depth - k][who]
-            gain = np.full(len(who), v.byte_score if k == 1 else -np.inf)
-            if k in v.by_length:
-                h, s = v.by_length[k]
-                own = start[who] + depth
-                got = spans.hash(own - k, own)
-                at = np.minimum(np.searchsorted(h, got), len(h) - 1)
-                hit = h[at] == got
-                gain[hit] = s[at[hit]]
+            gain = v.gains(k, buf, start[who] + depth, eight)
             total, n_pieces = best[depth - k][before] + gain, count[depth - k][before] + 1
             better = (total > score) | ((total == score) & (n_pieces < pieces) & np.isfinite(total))
             score[better], pieces[better] = total[better], n_pieces[better]
@@ -107,7 +126,7 @@ def terminal_counts(buf: np.ndarray, start: np.ndarray, end: np.ndarray, v: Voca
 
 def plain_counts(buf: np.ndarray, length: np.ndarray, v: Vocabulary) -> list[int]:
     """The same as terminal_counts for spans that fill ``buf`` one after the other, in time in proportion to its bytes."""
-    spans = T.Spans(buf)
+    eight = T.eight_bytes(buf)
     depth = np.arange(len(buf)) - np.repeat(np.cumsum(length) - length, length) + 1  # bytes of a span up to each
     out: list[int] = []
     keep = v.longest
@@ -117,13 +136,7 @@ def plain_counts(buf: np.ndarray, length: np.ndarray, v: Vocabulary) -> list[int
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for k in sorted({1, *v.by_length}):
             own = ends[depth[ends - 1] >= k]
-            gain = np.full(len(own), v.byte_score if k == 1 else -np.inf)
-            if k in v.by_length and len(own):
-                h, s = v.by_length[k]
-                got = spans.hash(own - k, own)
-                at = np.minimum(np.searchsorted(h, got), len(h) - 1)
-                hit = h[at] == got
-                gain[hit] = s[at[hit]]
+            gain = v.gains(k, buf, own, eight)
             some = np.isfinite(gain)
             found.append((own[some], np.full(int(some.sum()), k), gain[some]))
         end, size, gain = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -147,78 +160,43 @@ def plain_counts(buf: np.ndarray, length: np.ndarray, v: Vocabulary) -> list[int
 class Counter:
     """Counts of texts; what distinct pre-tokens cost is kept for the later blocks of a task."""
 
-    KEPT = 2_000_000
-
-    def __init__(self, vocabulary: Vocabulary, max_bytes: int | None = None):
-        self.v, self.max_bytes = vocabulary, max_bytes
-        self.known, self.cost = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def _cut(self, w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, row, first stretch of its run?) with long runs cut."""
-        long = np.flatnonzero(w.end - w.start > self.max_bytes) if self.max_bytes is not None else []
-        if not len(long):
-            return w.start, w.end, w.row, np.ones(len(w.start), bool)
-        more: list[tuple[int, int, int, bool]] = []
-        for i in long.tolist():
-            a, b, first = int(w.start[i]), int(w.end[i]), True
-            while a < b:
-                c = min(b, a + self.max_bytes)
-                while a + 1 < c < b and (w.raw[c] & 0xC0) == 0x80 and c > a + self.max_bytes - 4:
-                    c -= 1
-                more.append((a, c, int(w.row[i]), first))
-                a, first = c, False
-        keep = np.ones(len(w.start), bool)
-        keep[long] = False
-        extra = np.array(more, dtype=np.int64)
-        parts = [np.concatenate([x[keep], extra[:, k]]) for k, x in enumerate((w.start, w.end, w.row))]
-        return *parts, np.concatenate([np.ones(int(keep.sum()), bool), extra[:, 3].astype(bool)])
+    KEPT = 500_000
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.known: dict[bytes, int] = {}
 
     def counts(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pre-tokens, tokens) of each text."""
         w = T.Words(raw, off, T.SPACE_WORDS, lower=False)
-        n = w.n_rows
-        start, end, row, first = self._cut(w)
-        h = T.span_hashes(w.raw, start, end)
-        h[~first] = T.mix(h[~first])
-        distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        where, inverse = T.distinct_spans(w.raw, w.start, w.end)
+        content = [w.raw[a:b].tobytes() for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)]
         if len(self.known) > self.KEPT:
-            self.known, self.cost = np.empty(0, np.uint64), np.empty(0, np.int64)
-        new = self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        at = where[new]
-        if len(at):
-            mark = np.where(first[at], len(MARK), 0)
-            size = end[at] - start[at] + mark
-            b = np.cumsum(size)
-            a = b - size
-            buf = np.empty(int(size.sum()), dtype=np.uint8)
-            inner = np.arange(len(buf)) - np.repeat(a, size)
-            source = np.repeat(start[at] - mark, size) + inner
-            head = inner < np.repeat(mark, size)
-            buf[~head] = w.raw[source[~head]]
-            buf[head] = np.frombuffer(MARK, np.uint8)[inner[head]]
+            self.known = {}
+        new = [c for c in content if c not in self.known]
+        if new:
+            buf = np.frombuffer(b"".join(MARK + c for c in new), dtype=np.uint8)
+            size = np.array([len(MARK) + len(c) for c in new])
+            end = np.cumsum(size)
             long = size > LONG
-            cost = np.empty(len(at), dtype=np.int64)
-            cost[~long] = terminal_counts(buf, a[~long], b[~long], self.v)
+            cost = np.empty(len(new), dtype=np.int64)
+            cost[~long] = terminal_counts(buf, (end - size)[~long], end[~long], self.v)
             if long.any():
                 cost[long] = plain_counts(buf[np.repeat(long, size)], size[long], self.v)
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known, kind="stable")
-            self.cost = np.concatenate([self.cost, cost])[order]
-            self.known = known[order]
-        cost = self.cost[np.searchsorted(self.known, distinct)][inverse] if len(distinct) else np.empty(0)
-        return np.bincount(row, minlength=n).astype(np.int64), np.bincount(row, cost, n).astype(np.int64)
+            self.known |= zip(new, cost.tolist(), strict=True)
+        cost = np.array([self.known[c] for c in content], dtype=np.int64)
+        return np.diff(w.first).astype(np.int64), np.bincount(w.row, cost[inverse], w.n_rows).astype(np.int64)
 
 
-def count_tokens(docs: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "doc_id", text: str = "text", max_bytes: int | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for each row; null, empty and blank texts have none.
 
-    max_bytes: longer runs are cut at character boundaries and their stretches counted as pre-tokens, which is not the best
-    segmentation of the run; by default none is cut.  Ids may be null or repeated; an empty table gives no rows; other columns play no part.
+    Runs of any length are segmented whole.  Ids may be null or repeated; an empty table gives no rows; other columns play no part.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary, max_bytes)
+        counter = Counter(vocabulary)
         for batch in batches:
             raw, off = T.text_buffers(batch.column(1))
             for i, j in T.chunks(off):

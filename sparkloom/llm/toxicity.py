@@ -61,6 +61,7 @@ class Letters:
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
         self.words = T.Words(raw, off, _PLAIN)
+        self.eight = T.eight_bytes(self.words.raw)
 
     def beginning(self, k: int) -> np.ndarray:
         """Hash of the first k bytes of every word (of those longer than k; else 0); k = 0: of the word."""
@@ -69,11 +70,7 @@ class Letters:
             return w.hash
         out = np.zeros(len(w.start), dtype=np.uint64)
         at = np.flatnonzero(w.end - w.start > k)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(at), dtype=np.uint64)
-            for i in range(k):
-                total += T._BYTE_VALUE[w.raw[w.start[at] + i]] * np.uint64(pow(T._BASE, i, 2**64))
-        out[at] = T.mix(total + np.uint64(k))
+        out[at] = T.span_hashes(w.raw, w.start[at], w.start[at] + k, self.eight) ^ T.U64(1)  # not that of the word of k bytes
         return out
 
 
@@ -84,10 +81,7 @@ def _disguised(raw: np.ndarray, off: np.ndarray, words: T.Words) -> np.ndarray:
     place = np.concatenate([[0], np.cumsum(kept)])
     small = buf[kept]
     a, b = place[words.start], place[words.end]
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T._BYTE_VALUE[small] * T._power_table("up", T._BASE, len(small))[: len(small)])])
-        down = T._power_table("down", T._BASE_INV, len(small) + 1)
-        h = T.mix((total[b] - total[a]) * down[a])
+    h = T.span_hashes(small, a, b)
     return _within(h, _INSULTS) & (b > a)
 
 
