@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +30,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this name below the one that spark.checkpoint.dir names.
+
+    Where it is unset (tests on one machine) the folder of the context's checkpoints is taken, or a temporary one set.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        root = sc._jsc.sc().getCheckpointDir().get()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written once as Parquet to the shared folder and read from there."""
+    path = folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], int(row["h"] or 0)

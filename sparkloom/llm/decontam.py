@@ -1,13 +1,17 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by documents: every task turns a block of documents into postings (term ->
-sorted positions of the block), which needs no exchange and is rebuilt from its input alone when an
-executor is lost.  A test phrase is answered from its rarest terms in the block: the posting list of the
-rarest one, moved back by its offset, is intersected with the lists of the others in order of rarity.
-Survivors are compared byte by byte, so that hashes decide nothing.
-
-The test phrases go to all tasks.  Their size is checked on the driver (``max_query_mb``); a larger
-test set is taken in blocks of items, each a pass over the documents.
+``index`` stores the postings of all words of the training texts: for each term and block of documents the sorted
+positions, as differences in as few bytes as hold them.  The table is dealt by term and block, so that the list of a
+frequent term lies in many partitions, and is written once, in the folder that the cluster shares; a search reads it as
+often as it needs.  Terms are stored as they are, so that no hash decides a match.
+
+A search takes the terms of the test windows, counts them in the index, and fetches their lists by block.  In a block
+each window starts from the list of its rarest term, moved back by the term's offset; that is intersected with the lists
+of the others in the order of their rarity, each moved by its own offset.  What is left are the exact matches.  Proximity
+matches start from the rarest term too: each further term must stand within so many words of it, and the places that
+remain are looked through for a span that holds all terms, in any order.
+
+Test windows go to all tasks.  A test set over ``block_mb`` is searched in blocks of items, and what the blocks hit is united.
 """
 
 from __future__ import annotations
@@ -19,213 +23,321 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from . import textkit as T
+from .common import arrow_groups, cut, stored, table
 
 NOTHING = hashlib.sha256(b"").hexdigest()
+#: Consecutive words in which the words of a window must stand for a proximity match, in windows.
+NEAR = 2
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | None) -> list[str]:
     """Lower-cased words of a text; none for null."""
     raw, off = T.text_buffers(pa.array([text], pa.string()))
-    return T.Words(raw, off, T.ALNUM_WORDS).text(0, 1 << 62)
+    return [w.decode() for w in T.Words(raw, off, T.ALNUM_WORDS).text(0, 1 << 62)]
+
+
+def pack_positions(position: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Each run of ``count`` ascending positions as differences of one, two or four bytes."""
+    if not len(count):
+        return []
+    end = np.cumsum(count)
+    begin = end - count
+    step = np.diff(position, prepend=0)
+    step[begin] = position[begin]
+    width = np.maximum.reduceat(step, begin)
+    kinds = [np.uint8 if w < 1 << 8 else np.uint16 if w < 1 << 16 else np.uint32 for w in width.tolist()]
+    return [step[a:b].astype(k).tobytes() for a, b, k in zip(begin.tolist(), end.tolist(), kinds, strict=True)]
+
+
+def unpack_positions(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype=f"u{len(data) // n}").astype(np.int64))
+
+
+def index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stored index of a table: rows of postings, and one row of the directory for each block.
+
+    Postings: block, term, n (occurrences), positions (in words of the block).  Directory: block, ids (of its rows, in
+    order, null ids and repeated rows included) and firsts (the position of each row's first word, and the number of words).
+    A null text has no words; an empty table has an index without rows.  Other columns play no part.
+    """
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        names = ["block", "term", "n", "positions", "ids", "firsts"]
+        for batch in batches:
+            raw, off = T.text_buffers(batch.column(1))
+            ids = batch.column(0)
+            for i, j in T.chunks(off):
+                w = T.Words(raw, off[i : j + 1], T.ALNUM_WORDS)
+                where, term = T.distinct_spans(w.raw, w.start, w.end)
+                count = np.bincount(term, minlength=len(where))
+                position = np.argsort(term, kind="stable")
+                content = [w.raw[a:b].tobytes().decode() for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)]
+                k = len(where)
+                own = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), own, pa.array([w.first.astype(np.int64).tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(k, block)), pa.array(content, pa.string()), pa.array(count.astype(np.int32)), pa.array(pack_positions(position, count), pa.binary()),
+                    pa.nulls(k, own.type), pa.nulls(k, pa.binary()),
+                ], names=names)
+                block += 1
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    rows = source.mapInArrow(run, f"block long, term string, n int, positions binary, ids array<{kind}>, firsts binary")
+    return stored(rows.repartition("term", "block"))
 
 
 @dataclass
 class Phrases:
     """Distinct phrases (word lists) and the ids of the items each stands in."""
 
-    window: int
-    terms: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    terms: list[str] = field(default_factory=list)
     by_length: dict[int, np.ndarray] = field(default_factory=dict)  # phrase length -> term numbers, a row a phrase
     items: dict[int, list[tuple[str, ...]]] = field(default_factory=dict)
-    words: list[bytes] = field(default_factory=list)
 
     @classmethod
-    def build(cls, items: list[tuple[object, str | None]], window: int) -> Phrases:
-        """An item with fewer words than a window, but not none, is one phrase; a null id stands in no list."""
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+    def build(cls, items: list[tuple[object, str | None]], window: int | None) -> Phrases:
+        """The windows of items; one with fewer words, but not none, is one phrase, as is any without a window.  A null id stands in no list."""
+        owners: dict[tuple[str, ...], set[str]] = defaultdict(set)
         for item_id, text in items:
             w = words_of(text)
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                owners[tuple(w[i : i + window])] |= {str(item_id)} if item_id is not None else set()
-        vocabulary = sorted({w for p in owners for w in p}, key=T.word_hash)
-        number = {w: i for i, w in enumerate(vocabulary)}
-        out = cls(window, np.array([T.word_hash(w) for w in vocabulary], dtype=np.uint64), words=vocabulary)
-        if len(np.unique(out.terms)) < len(out.terms):
-            raise ValueError("two test terms have one hash")
+            size = window or len(w)
+            for i in range(max(1, len(w) - size + 1) if w else 0):
+                owners[tuple(w[i : i + size])] |= {str(item_id)} if item_id is not None else set()
+        out = cls(sorted({w for p in owners for w in p}))
+        number = {w: i for i, w in enumerate(out.terms)}
         for n in sorted({len(p) for p in owners}):
             own = sorted(p for p in owners if len(p) == n)
             out.by_length[n] = np.array([[number[w] for w in p] for p in own], dtype=np.int32)
             out.items[n] = [tuple(sorted(owners[p])) for p in own]
         return out
 
-
-class BlockIndex:
-    """Postings of a block of documents for the terms that the test set uses."""
-
-    def __init__(self, words: T.Words, terms: np.ndarray):
-        self.words = words
-        self.term = np.full(len(words.hash), -1, dtype=np.int32)
-        if len(terms) and len(words.hash):
-            at = np.minimum(np.searchsorted(terms, words.hash), len(terms) - 1)
-            hit = terms[at] == words.hash
-            self.term[hit] = at[hit]
-        place = np.flatnonzero(self.term >= 0)
-        order = np.argsort(self.term[place], kind="stable")
-        self.positions = place[order]
-        self.frequency = np.bincount(self.term[place], minlength=len(terms))
-        self.begin = np.concatenate([[0], np.cumsum(self.frequency)])
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.begin[term] : self.begin[term + 1]]
-
-    def phrases(self, phrases: np.ndarray, vocabulary: list[bytes], step: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, phrase) of each exact occurrence of each row of ``phrases``."""
+    def by_rarity(self, frequency: np.ndarray) -> dict[int, np.ndarray]:
+        """For each length the offsets in a phrase, that of the rarest term first."""
+        return {n: np.argsort(frequency[rows], axis=1, kind="stable") for n, rows in self.by_length.items()}
+
+
+class Lists:
+    """The posting lists of a block for some terms, as one sorted array of (term, position)."""
+
+    STEP = 4_000_000  # candidates at once
+
+    def __init__(self, lists: dict[int, np.ndarray], n_terms: int, firsts: np.ndarray):
+        self.firsts, self.words = firsts, int(firsts[-1])
+        self.size = np.zeros(n_terms, dtype=np.int64)
+        for t, positions in lists.items():
+            self.size[t] = len(positions)
+        self.begin = np.cumsum(self.size) - self.size
+        numbers = sorted(lists)
+        self.position = np.concatenate([lists[t] for t in numbers]) if numbers else np.empty(0, np.int64)
+        self.key = np.repeat(np.array(numbers, np.int64), self.size[numbers]) * (self.words + 1) + self.position
+
+    def row(self, position: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.firsts, position, side="right") - 1
+
+    def holds(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Has the list of each term a position from low to high?"""
+        base = term.astype(np.int64) * (self.words + 1)
+        at = np.minimum(np.searchsorted(self.key, base + low), len(self.key) - 1)
+        return (self.key[at] >= base + low) & (self.key[at] <= base + high)
+
+    def starts(self, phrases: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(occurrence of its rarest term, phrase) of the phrases whose terms all stand in the block, some at a time."""
+        alive = np.flatnonzero((self.size[phrases] > 0).all(axis=1))
+        rare = phrases[alive, order[alive, 0]]
+        size = self.size[rare]
+        part = np.cumsum(size) // self.STEP
+        for k in np.split(np.arange(len(alive)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+            if len(k):
+                which = np.repeat(k, size[k])
+                inner = np.arange(len(which)) - np.repeat(np.cumsum(size[k]) - size[k], size[k])
+                yield self.position[self.begin[rare[which]] + inner], alive[which]
+
+    def exact(self, phrases: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, phrase) of each exact occurrence."""
         n = phrases.shape[1]
-        df = self.frequency[phrases]
-        alive = np.flatnonzero((df > 0).all(axis=1))
-        if not len(alive) or n > len(self.term):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        order = np.argsort(df[alive], axis=1, kind="stable")  # offsets, the rarest term's first
-        anchor = order[:, 0]
-        rare = phrases[alive, anchor]
-        found_at, found = [], []
-        ends = np.cumsum(self.frequency[rare])
-        low = 0
-        while low < len(alive):  # so many candidates at a time
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + step, side="right")))
-            k = np.arange(low, high)
-            size = self.frequency[rare[k]]
-            which = np.repeat(k, size)
-            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            at = self.positions[self.begin[rare[which]] + inner] - anchor[which]
-            keep = (at >= 0) & (at + n <= len(self.term))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for at, which in self.starts(phrases, order):
+            at = at - order[which, 0]
+            keep = (at >= 0) & (at + n <= self.words)
             at, which = at[keep], which[keep]
-            keep = self.words.row[at] == self.words.row[at + n - 1]
+            keep = self.row(at) == self.row(at + n - 1)
             at, which = at[keep], which[keep]
-            for r in range(1, n):  # intersect with the next rarer list, moved by its offset
+            for r in range(1, n):
                 offset = order[which, r]
-                keep = self.term[at + offset] == phrases[alive[which], offset]
+                keep = self.holds(phrases[which, offset], at + offset, at + offset)
                 at, which = at[keep], which[keep]
                 if not len(at):
                     break
-            found_at.append(at)
-            found.append(alive[which])
-            low = high
-        at, which = np.concatenate(found_at), np.concatenate(found)
-        seen: dict[int, bool] = {}  # each distinct hit word is compared once
-        w = self.words
-        for s in np.unique(at):
-            for i in range(s, s + n):
-                if i not in seen:
-                    seen[i] = w.raw[w.start[i] : w.end[i]].tobytes() == vocabulary[self.term[i]]
-        if not all(seen.values()):
-            good = np.array([all(seen[i] for i in range(s, s + n)) for s in at], dtype=bool)
-            at, which = at[good], which[good]
-        return at, which
-
-    def near(self, terms: list[int], within: int) -> list[tuple[int, int]]:
-        """(row, first word) of the places where all terms stand within so many consecutive words of a text.
-
-        A place is an occurrence of the rarest term together with the nearest span that holds the others.
+            found.append((at, which))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def near(self, phrases: np.ndarray, order: np.ndarray, within: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, phrase) of spans of ``within`` words in one text that hold all terms, one at most for each occurrence of the rarest.
+
+        known: row * len(phrases) + phrase of matches that need no second look.
         """
-        terms = sorted(set(terms), key=lambda t: self.frequency[t])
-        out = []
-        if not terms or any(not self.frequency[t] for t in terms):
-            return out
-        for p in self.postings(terms[0]).tolist():
-            row = self.words.row[p]
-            low, high = max(p - within + 1, self.words.first[row]), min(p + within, self.words.first[row + 1])
-            inside = [q[np.searchsorted(q, low) : np.searchsorted(q, high)] for q in map(self.postings, terms[1:])]
-            for s in sorted({p, *(int(x) for q in inside for x in q if x <= p)}, reverse=True):
-                if p - s < within and all(np.any((q >= s) & (q < s + within)) for q in inside):
-                    out.append((int(row), int(s)))
+        found: list[tuple[int, int]] = []
+        for at, which in self.starts(phrases, order):
+            if known is not None and len(known):
+                keep = ~np.isin(self.row(at) * len(phrases) + which, known)
+                at, which = at[keep], which[keep]
+            for r in range(1, phrases.shape[1]):
+                row = self.row(at)
+                low, high = np.maximum(at - within + 1, self.firsts[row]), np.minimum(at + within, self.firsts[row + 1]) - 1
+                keep = self.holds(phrases[which, order[which, r]], low, high)
+                at, which = at[keep], which[keep]
+                if not len(at):
                     break
-        return out
+            for p, phrase in zip(at.tolist(), which.tolist(), strict=True):
+                if (s := self._span(p, np.unique(phrases[phrase]), within)) is not None:
+                    found.append((s, phrase))
+        return np.array([x[0] for x in found], dtype=np.int64), np.array([x[1] for x in found], dtype=np.int64)
+
+    def _span(self, p: int, terms: np.ndarray, within: int) -> int | None:
+        """The latest start, up to p, of a span that holds p and all terms."""
+        row = int(self.row(np.array([p]))[0])
+        low, high = max(p - within + 1, self.firsts[row]), min(p + within, self.firsts[row + 1])
+        lists = [self.position[self.begin[t] : self.begin[t] + self.size[t]] for t in terms.tolist()]
+        inside = [q[np.searchsorted(q, low) : np.searchsorted(q, high)] for q in lists]
+        for s in sorted({p, *(int(x) for q in inside for x in q if x <= p)}, reverse=True):
+            if all(np.any((q >= s) & (q < s + within)) for q in inside):
+                return s
+        return None
+
+
+def _search(stored_index: DataFrame, phrases: Phrases, run, schema: str) -> DataFrame:
+    """``run`` over (block, lists) of all blocks, with the offsets by rarity; what it yields are rows of ``schema``."""
+    spark = stored_index.sparkSession
+    vocabulary = F.broadcast(spark.createDataFrame(list(zip(phrases.terms, range(len(phrases.terms)), strict=True)), "term string, t int"))  # bounded by a block of the test set
+    postings = stored_index.where("term is not null").join(vocabulary, "term").select("block", "t", "n", "positions")
+    counts = {r["t"]: r["n"] for r in postings.groupBy("t").agg(F.sum("n").alias("n")).collect()}  # a row a test term
+    order = phrases.by_rarity(np.array([counts.get(t, 0) for t in range(len(phrases.terms))], dtype=np.int64))
+    directory = stored_index.where("term is null").select("block", F.lit(-1).alias("t"), F.lit(0).alias("n"), F.col("firsts").alias("positions"))
+
+    def block(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        terms, n = group["t"].to_pylist(), group["n"].to_pylist()
+        if len(terms) < 2:
+            return
+        data = [x.as_buffer() for x in group["positions"]]
+        lists = Lists({t: unpack_positions(d, k) for t, k, d in zip(terms[1:], n[1:], data[1:], strict=True)}, len(phrases.terms), np.frombuffer(data[0], dtype=np.int64))
+        yield from run(group["block"][0].as_py(), lists, order)
+
+    return arrow_groups(postings.unionByName(directory), ["block"], ["t"], block, schema)
+
+
+def _documents(stored_index: DataFrame) -> DataFrame:
+    """(block, row, doc_id, n_words) of each indexed document."""
+    kind = stored_index.schema["ids"].dataType.elementType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                first = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.int64)
+                n = len(first) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.arange(n, dtype=np.int32)), batch.column(1)[i].values, pa.array(np.diff(first))], names=["block", "row", "doc_id", "n_words"])
 
-def _scan(batch: pa.RecordBatch, text: int, phrases: Phrases) -> Iterator[dict[str, list]]:
-    raw, off = T.text_buffers(batch.column(text))
-    for i, j in T.chunks(off):
-        w = T.Words(raw, off[i : j + 1], T.ALNUM_WORDS)
-        index = BlockIndex(w, phrases.terms)
-        cover = np.zeros(len(w.hash) + 1, dtype=np.int64)
-        owners: dict[int, set[str]] = defaultdict(set)
-        n_hit = np.zeros(w.n_rows, dtype=np.int64)
-        for n, rows in phrases.by_length.items():
-            at, which = index.phrases(rows, phrases.words)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + n, -1)
-            pair = np.unique(w.row[at] * np.int64(len(rows)) + which)
-            for r, p in zip((pair // len(rows)).tolist(), (pair % len(rows)).tolist(), strict=True):
-                owners[r].update(phrases.items[n][p])
-        if len(w.hash):
-            hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-            n_hit = np.bincount(w.row[hit], minlength=w.n_rows)
-        names = [sorted(owners.get(r, ())) for r in range(w.n_rows)]
-        yield {
-            "range": (i, j),
-            "n_words": np.diff(w.first),
-            "n_hit": n_hit,
-            "items": names,
-        }
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_query_mb: int = 64, keep: list[str] | None = None) -> DataFrame:
-    """Exact phrase matches: ``keep`` columns of every document with n_words, n_hit, n_items and item_ids.
+    return stored_index.where("term is null").select("block", "ids", "firsts").mapInArrow(run, f"block long, row int, doc_id {kind}, n_words long")
+
+
+def search(stored_index: DataFrame, benchmark: DataFrame, *, item_id: str = "item_id", item_text: str = "text", window: int = 13, near: int = NEAR, block_mb: float = 2) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, item_ids, n_near) for each row of the indexed table.
 
     A word inside any occurrence of a window of an item is hit; item_ids lists (sorted as strings) the
-    items with an occurring window.  One row for each row of ``docs``; a null text has no words; null or
-    empty items have no windows; repeated item rows count once; an empty table on either side gives
-    rows without hits, or no rows.  Other columns of either table play no part.
+    items with an occurring window; n_near counts the items with a window whose words all stand within ``near`` * ``window``
+    consecutive words, in any order.  Null or empty items have no windows; repeated item rows count once; an empty table on
+    either side gives rows without hits, or no rows.  Other columns of the test set play no part.
     """
-    keep = keep or [doc_id]
-    queries = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()
+    queries = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
     size = queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if size > max_query_mb << 20:
-        raise ValueError(f"the test set has {size >> 20} MB, over max_query_mb; pass it in blocks of items")
-    phrases = Phrases.build([(r["i"], r["t"]) for r in queries.collect()], window)
-    source = docs.select(*keep) if text in keep else docs.select(*keep, text)
-    at = source.columns.index(text)
-    kept = [i for i, c in enumerate(source.columns) if c in keep]
-    schema = docs.select(*keep).schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("item_ids", ArrayType(StringType()))
+    parts = max(1, -(-size // int(block_mb * (1 << 20))))
+    within = near * window
+    schema = "block long, row int, starts binary, ends binary, items array<string>, close array<string>"
+
+    def part(number: int) -> DataFrame:
+        phrases = Phrases.build([(r["i"], r["t"]) for r in queries.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == number).collect()], window)
+
+        def run(block: int, lists: Lists, order: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            items: dict[int, set[str]] = defaultdict(set)
+            close: dict[int, set[str]] = defaultdict(set)
+            for n, rows in phrases.by_length.items():
+                at, which = lists.exact(rows, order[n])
+                row = lists.row(at)
+                for r, a in zip(row.tolist(), at.tolist(), strict=True):
+                    spots[r].append((a, a + n))
+                known = np.unique(row * len(rows) + which)
+                for k in known.tolist():
+                    items[k // len(rows)].update(phrases.items[n][k % len(rows)])
+                at, which = lists.near(rows, order[n], within, known)
+                for k in np.unique(lists.row(at) * len(rows) + which).tolist():
+                    close[k // len(rows)].update(phrases.items[n][k % len(rows)])
+            some = sorted({*spots, *close})
+            ends = [np.array(sorted(set(spots[r])), dtype=np.int64).reshape(-1, 2) for r in some]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([x[:, 0].tobytes() for x in ends], pa.binary()), pa.array([x[:, 1].tobytes() for x in ends], pa.binary()),
+                pa.array([sorted(items[r]) for r in some], pa.list_(pa.string())), pa.array([sorted(close[r] | items[r]) for r in some], pa.list_(pa.string())),
+            ], names=["block", "row", "starts", "ends", "items", "close"])
+
+        return _search(stored_index, phrases, run, schema)
+
+    found = part(0)
+    for number in range(1, parts):
+        found = cut(found).unionByName(part(number))
+
+    def unite(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        """What the blocks of the test set hit in one document: the words covered by their intervals."""
+        a, b = (np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int64) for x in group[c]]) for c in ("starts", "ends"))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order]) if len(b) else b
+        before = np.concatenate([a[:1], b[:-1]])
+        hit = int((b - np.maximum(a, before)).clip(0).sum())
+        items, close = (sorted({x for v in group[c].to_pylist() for x in v}) for c in ("items", "close"))
+        yield pa.RecordBatch.from_arrays(
+            [group["block"].combine_chunks()[:1], group["row"].combine_chunks()[:1], pa.array([hit]), pa.array([items], pa.list_(pa.string())), pa.array([len(close)])], names=["block", "row", "n_hit", "item_ids", "n_near"]
+        )
+
+    united = arrow_groups(found, ["block", "row"], [], unite, "block long, row int, n_hit long, item_ids array<string>, n_near long")
+    none = F.array().cast("array<string>")
+    got = _documents(stored_index).join(united, ["block", "row"], "left")
+    return got.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in _scan(batch, at, phrases):
-                i, j = x["range"]
-                cols = [batch.column(k).slice(i, j - i) for k in kept]
-                cols += [pa.array(x["n_words"], pa.int64()), pa.array(x["n_hit"], pa.int64()), pa.array([len(v) for v in x["items"]], pa.int64()), pa.array(x["items"], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*(batch.schema.names[k] for k in kept), "n_words", "n_hit", "n_items", "item_ids"])
 
-    return source.mapInArrow(run, schema)
+def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``search`` over a new index of ``docs``: a row for each of its rows."""
+    return search(index(docs, doc_id=doc_id, text=text), benchmark, **options)
 
 
 def proximity(docs: DataFrame, queries: dict[str, str], *, within: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, query, word): where all words of a query stand within ``within`` consecutive words, in any order.
 
-    ``word`` is the first word of the span, counted from 0 in the document.  A query without words matches nothing.
+    ``word`` is the first word of the span, counted from 0 in the document; one row at most for each occurrence of the query's
+    rarest word.  A query without words matches nothing.  Each row of ``docs`` is searched, repeated ones and those with a
+    null id too; null texts and an empty table give no rows; other columns play no part.
     """
-    parsed = {k: words_of(v) for k, v in queries.items()}
-    vocabulary = sorted({w for ws in parsed.values() for w in ws}, key=T.word_hash)
-    terms = np.array([T.word_hash(w) for w in vocabulary], dtype=np.uint64)
-    number = {w: i for i, w in enumerate(vocabulary)}
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
+    phrases = Phrases.build(list(queries.items()), None)
+    stored_index = index(docs, doc_id=doc_id, text=text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = T.text_buffers(batch.column(1))
-            ids = batch.column(0)
-            for i, j in T.chunks(off):
-                index = BlockIndex(T.Words(raw, off[i : j + 1], T.ALNUM_WORDS), terms)
-                hits = [(r, k, s - int(index.words.first[r])) for k, ws in parsed.items() for r, s in index.near([number[w] for w in ws], within)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([i + h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.int64())], names=["doc_id", "query", "word"])
+    def run(block: int, lists: Lists, order: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for n, rows in phrases.by_length.items():
+            at, which = lists.near(rows, order[n], within)
+            row = lists.row(at)
+            out += [(r, q, s) for r, s, w in zip(row.tolist(), (at - lists.firsts[row]).tolist(), which.tolist(), strict=True) for q in phrases.items[n][w]]
+        cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *cols], names=["block", "row", "query", "word"])
 
-    return source.mapInArrow(run, source.select("doc_id").schema.add("query", "string").add("word", "long"))
+    found = _search(stored_index, phrases, run, "block long, row int, query string, word long")
+    return _documents(stored_index).drop("n_words").join(found, ["block", "row"]).select("doc_id", "query", "word")
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
@@ -233,24 +345,26 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with the columns they have."""
-    added = ["n_words", "n_hit", "n_items", "item_ids"]
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a test window, with the columns they have.
+
+    However long a document is, a passage in it counts.  Decided by the text alone, so that rows with equal texts share
+    their fate and ids may be null or repeated; rows without a text stay.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes
-    at = dict(zip(docs.columns, names, strict=True))
-    own = {k: at[options.pop(k, k)] for k in ("doc_id", "text")}
-    got = scan(docs.toDF(*names), benchmark, keep=names, **own, **options).where(~contaminated()).drop(*added)
-    return got.toDF(*docs.columns)
+    own = docs.toDF(*names)
+    of_text = F.md5(F.col(names[docs.columns.index(text)]))
+    hits = scan(own.select(of_text.alias("doc_id"), F.col(names[docs.columns.index(text)]).alias("text")), benchmark, **options)
+    gone = hits.where("n_hit > 0").select(F.col("doc_id").alias("gone")).distinct()
+    return own.join(gone, of_text == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     hits = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
-        contaminated().alias("contaminated"),
+        contaminated().alias("contaminated"), "n_near",
     )
 
 
@@ -272,8 +386,16 @@ WITH d AS (
   SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid
 ), items AS (
   SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid
+), bag AS (SELECT s, list_distinct(string_split(s, ' ')) AS own FROM (SELECT DISTINCT s FROM win)
+), both_have AS (
+  SELECT rid, s FROM (SELECT s, own, unnest(own) AS t FROM bag) JOIN (SELECT rid, unnest(list_distinct(w)) AS t FROM d) USING (t) GROUP BY rid, s, own HAVING count(*) = len(own)
+), close_by AS (
+  SELECT DISTINCT rid, s FROM (SELECT d.rid, bag.s, own, w, unnest(range(1, len(w) + 1)) AS i FROM both_have JOIN d USING (rid) JOIN bag USING (s))
+  WHERE list_contains(own, w[i]) AND list_has_all(w[i:i + 25], own)
+), near_items AS (
+  SELECT rid, count(DISTINCT item) AS n_near FROM close_by JOIN win USING (s) GROUP BY rid
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN word USING (rid) LEFT JOIN items USING (rid)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN word USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near_items USING (rid)
 """

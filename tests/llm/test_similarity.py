@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from conftest import WORDS, prose
 
 from sparkloom.llm import common, decontam, embed_dedup, ngram_join
@@ -184,13 +185,15 @@ def scan_brute(docs, items, window=13):
     out = []
     for i, t in docs:
         w = words(t)
-        hit, found = set(), set()
+        hit, found, near = set(), set(), set()
         for p, owners in phrases.items():
             for k in range(len(w) - len(p) + 1):
                 if tuple(w[k : k + len(p)]) == p:
                     hit |= set(range(k, k + len(p)))
                     found |= owners
-        out.append((i, len(w), len(hit), sorted(found)))
+            if set(p) <= set(w) and any(set(p) <= set(w[k : k + 2 * window]) for k in range(len(w))):
+                near |= owners
+        out.append((i, len(w), len(hit), sorted(found), len(near)))
     return out
 
 
@@ -201,21 +204,36 @@ def test_phrases_equal_brute_force(spark, edge_docs, no_docs):
         a = prose(i, 30)
         b = items[i % 6][1]
         docs.append((i, f"{a} {b.upper() if i % 3 else b} {a}" if i % 2 else f"{a}. SHORT, one! {' '.join(b.split()[:12])}"))
+    scattered = items[2][1].split()
+    docs += [(70, " ".join(x for w in reversed(scattered[:13]) for x in (w, "zz"))), (71, " ".join(x for w in scattered[:13] for x in (w, "zz", "zz"))), (72, prose(9, 3) + " one x short " + prose(9, 3))]
     docs += [(r.doc_id, r.text) for r in edge_docs.collect()]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = [(r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()]
-    assert sorted(got, key=repr) == sorted(scan_brute(docs, items), key=repr)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = sorted(scan_brute(docs, items), key=repr)
+    for block_mb in (2, 0.0002):  # one block of items, and several whose hits are united
+        got = [(r.doc_id, r.n_words, r.n_hit, r.item_ids, r.n_near) for r in decontam.scan(df, bench, block_mb=block_mb).collect()]
+        assert sorted(got, key=repr) == want
     assert decontam.scan(no_docs, bench).count() == 0
-    assert decontam.scan(edge_docs, bench.limit(0)).where("n_hit > 0 or n_items > 0").count() == 0
-    assert decontam.clean(edge_docs.withColumnRenamed("score", "n_hit"), bench).columns == ["doc_id", "text", "source", "n_hit"]
-    with pytest.raises(ValueError):
-        decontam.scan(edge_docs, bench, max_query_mb=0)
+    assert decontam.scan(edge_docs, bench.limit(0)).where("n_hit > 0 or n_items > 0 or n_near > 0").count() == 0
+    clash = df.withColumn("n_hit", F.lit("kept")).withColumn("gone", F.lit(1))
+    kept = decontam.clean(clash, bench)
+    assert kept.columns == clash.columns
+    assert sorted((repr((r.doc_id, r.text)) for r in kept.collect())) == sorted(repr(d) for d, x in zip(docs, scan_brute(docs, items), strict=True) if not x[2])
+
+
+def test_positions_are_packed_without_loss():
+    rng = np.random.default_rng(2)
+    count = rng.integers(1, 9, 300)
+    position = np.concatenate([np.sort(rng.choice(10 ** int(rng.integers(1, 8)) + 9, n, replace=False)) for n in count])
+    packed = decontam.pack_positions(position, count)
+    assert np.concatenate([decontam.unpack_positions(d, int(n)) for d, n in zip(packed, count)]).tolist() == position.tolist()
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a x x b c"), (2, "c b x a"), (3, "a x x x x b c"), (4, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a x x b c"), (2, "c b x a"), (3, "a x x x x b c"), (4, None), (2, "c b x a"), (None, "a b c")], "doc_id long, text string").withColumn("word", F.lit("x"))
     got = {(r.doc_id, r["query"]) for r in decontam.proximity(docs, {"q": "b a c", "r": "zz", "s": ""}, within=5).collect()}
-    assert got == {(1, "q"), (2, "q")}
+    assert got == {(1, "q"), (2, "q"), (None, "q")}
+    assert decontam.proximity(docs, {"q": "b a c"}, within=5).count() == 4 and decontam.proximity(docs.limit(0), {"q": "a"}, within=5).count() == 0
 
 
 def test_words_by_regex():
