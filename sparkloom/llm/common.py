@@ -18,15 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` with its lineage cut at the reliable checkpoint folder.
 
     The folder is the one the cluster names in spark.checkpoint.dir; only where none is named (tests
     on one machine) a temporary one is set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -35,12 +40,7 @@ def folder(spark: SparkSession, name: str) -> str:
 
     Where it is unset (tests on one machine) the folder of the context's checkpoints is taken, or a temporary one set.
     """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        root = sc._jsc.sc().getCheckpointDir().get()
+    root = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_folder(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -51,6 +51,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``folder``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], int(row["h"] or 0)
