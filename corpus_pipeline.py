@@ -6,13 +6,10 @@ are written as Parquet and read again as the next one's ``docs``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontam, mixing, ngram_join, packing, quality
-from sparkloom.llm.common import table
+from sparkloom.llm.common import folder, remove, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +24,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of whose words a twentieth or more stand in benchmark windows."""
+    """Documents go that hold a window of 13 benchmark words, however long they are."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -54,11 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows.  Stages are written under spark.checkpoint.dir, or a temporary folder where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows.  Stages are written below spark.checkpoint.dir; each goes once the next one is written."""
+    root = folder(spark, "pipeline")
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
-        path = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{number}"
+        path = f"{root}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
