@@ -1,4 +1,6 @@
 import hashlib
+import math
+import re
 import subprocess
 import sys
 import zlib
@@ -123,6 +125,40 @@ def test_licenses_across_lines(spark):
     assert [got[i].score for i in (0, 3, len(texts) - 1)] == [1.0, 1.0, 0.0]
 
 
+def license_brute(text, templates, threshold=0.9):
+    """Labels and score of the matches of one text, by looking at every run of every template."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    own = [set(n.split()) for _, n in templates]
+    fits = set()
+    for t, (_, notice) in enumerate(templates):
+        for i in range(len(w)):
+            run = w[i : i + license_scan.run_words(notice)]
+            held = own[t] & set(run)
+            if w[i] in own[t] and len(held) >= math.ceil(threshold * len(own[t]) - 1e-9):
+                last = max(run.index(x) for x in held)
+                if w[i] not in run[1 : last + 1]:
+                    fits.add((len(held) / len(own[t]), len(own[t]), -t, frozenset(held), i, i + last + 1))
+    inside = lambda f, g: 2 * (min(f[5], g[5]) - max(f[4], g[4])) > f[5] - f[4]
+    kept = [f for f in fits if not any(g[2] != f[2] and g[:3] > f[:3] and f[3] <= own[-g[2]] and inside(f, g) for g in fits)]
+    return ",".join(sorted({templates[-f[2]][0] for f in kept})), max((f[0] for f in kept), default=0.0)
+
+
+def test_licenses_equal_brute_force(spark):
+    long = (("forty", " ".join(f"w{i}" for i in range(40))), ("lines", "one two three four five six"), ("near", "one two three four five seven"))
+    none = (("no such phrase", "none"),)
+    texts = [long[0][1], f"{prose(1, 30)} {long[0][1]} {prose(2, 30)}", "one two three\nfour five six", "x" + long[0][1], " ".join(f"w{i}" for i in range(36)), " ".join(f"w{i}" for i in range(35))]
+    texts += [" zz ".join(long[0][1].split()), " zz yy ".join(long[0][1].split()), " ".join(reversed(long[0][1].split())), f"{long[1][1]} {long[2][1]}", long[2][1], None, ""]
+    notices = [n for _, n in license_scan.TEMPLATES]
+    for i, n in enumerate(notices):
+        w = n.split()
+        texts += [n, "\n".join([prose(i, 9), *(" ".join(w[k : k + 5]) for k in range(0, len(w), 5))]), f"{n} {notices[i - 1]}", " ".join(w[:-1]), " ".join(w[1:] + w[:1]), " ".join(w[: len(w) // 2] + [prose(i, 4)] + w[len(w) // 2 :])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for templates in (long, license_scan.TEMPLATES):
+        got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs, phrases=none, templates=templates).collect()}
+        assert got == {i: license_brute(t, templates) for i, t in enumerate(texts)}
+    assert [license_brute(texts[i], long)[0] for i in (0, 1, 2, 4, 5, 6, 7, 9)] == ["forty", "forty", "lines", "forty", "", "forty", "", "lines,near"]
+
+
 def test_all_notices_of_a_place(spark):
     gpl = "this work is licensed under the gnu general public license version"
     texts = [
