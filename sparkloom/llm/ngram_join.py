@@ -14,17 +14,19 @@ threshold of p per cent only if their difference is at most (100 - p)(a + b) / (
    on the sets.  Of meetings and units over ``tile_rows`` documents, pairs of tiles are tasks.
 5. Links are counted; those that connect something and copies are joined to components.
 
-N-grams are compared by 64-bit hashes.
+N-grams are compared by 64-bit hashes of their words, sets recognised as equal by 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -53,11 +55,9 @@ def ngram_sets(raw: np.ndarray, off: np.ndarray, n: int) -> Iterator[tuple[int,
                 yield i + r, np.empty(0, np.uint64)
 
 
-def set_id(s: np.ndarray, salt: int) -> int:
-    """64 bits that identify a set, whatever the order."""
-    with np.errstate(over="ignore"):
-        total = T.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s))
-        return int(T.mix(np.array([total]))[0].view(np.int64))
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """Twice 64 bits that identify a set of sorted hashes."""
+    return struct.unpack("<qq", hashlib.blake2b(s, digest_size=16).digest())
 
 
 class Signatures:
@@ -205,12 +205,7 @@ def candidates_of(counts: np.ndarray, percent: int, tile: np.ndarray | None = No
             x = parent[x]
         return x
 
-    if len(counts) <= 8:
-        size = counts.sum(axis=1)
-        may = (100 + percent) * np.minimum(counts[:, None], counts[None]).sum(axis=2) >= percent * (size[:, None] + size)
-        pairs = [(x, y) for x, y in np.argwhere(may).tolist() if x < y]
-    else:
-        pairs = ((int(xs[0]), y) for xs, ys in CountTree(counts, percent).pairs() for y in ys.tolist())
+    pairs = ((int(xs[0]), y) for xs, ys in CountTree(counts, percent).pairs() for y in ys.tolist())
     for x, y in pairs:
         if tile is None or tile[x] != tile[y]:
             a, b = top(x), top(y)
@@ -278,7 +273,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = T.text_buffers(batch.column(1))
-            got = [(len(s), set_id(s, 1), set_id(s, 2), count_vector(s).tobytes()) for _, s in ngram_sets(raw, off, n)]
+            got = [(len(s), *set_id(s), count_vector(s).tobytes()) for _, s in ngram_sets(raw, off, n)]
             cols = [pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_shingles", "f1", "f2", "counts"])
 
@@ -288,7 +283,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
     copies = known.join(first, ["f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a set's copies in a partition give its signatures once
+        seen: set[tuple[int, int]] = set()  # a set's copies in a partition give its signatures once
         make = Signatures(percent)
         for batch in batches:
             raw, off = T.text_buffers(batch.column(1))
@@ -304,14 +299,14 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
             for r, s in ngram_sets(raw, off, n):
                 if not len(s) or not batch.column(0)[r].is_valid:
                     continue
-                f = set_id(s, 1)
+                f = set_id(s)
                 if f in seen:
                     continue
                 if len(seen) < 2_000_000:  # beyond, a copy's signatures may be given again; nothing else changes
                     seen.add(f)
                 own = make.of(s)
                 if len(own):
-                    rows.append(r), sigs.append(own), fps.append(f)
+                    rows.append(r), sigs.append(own), fps.append(f[0])
                 if len(rows) >= 4000:
                     yield out()
             if rows:
@@ -346,61 +341,77 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
 
     arrow_key = to_arrow_type(source.schema["doc_id"].dataType)
     order = ["meeting", "i", "j", "doc_id"]
-    vectors = known.select("doc_id", "f1", "counts").join(given, ["doc_id", "f1"], "left_semi").distinct()
-    spots = tiled(met.join(vectors, ["doc_id", "f1"]), "meeting", "doc_id", "counts").repartition(*order[:3]).sortWithinPartitions(*order)
+    vectors = known.select("doc_id", "f1", "f2", "counts").join(given, ["doc_id", "f1"], "left_semi").distinct()
+    spots = tiled(met.join(vectors.drop("f2"), ["doc_id", "f1"]), "meeting", "doc_id", "counts").repartition(*order[:3]).sortWithinPartitions(*order)
     families = cut(components(spots.mapInArrow(meet, f"u {key_type}, v {key_type}"), "u", "v"))
     sized = families.join(families.groupBy("component").agg(F.count("*").alias("m")), "component")
-    weights = known.groupBy("f1").agg(F.count("*").alias("weight"))
+    weights = known.groupBy("f1", "f2").agg(F.count("*").alias("weight"))
     # All rows of a set that gave signatures are in one family, as they met wherever one of them did: each set once.
     members = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), F.ceil(F.col("m") / tile_rows).cast("int").alias("tiles"))
-    members = members.join(given, "doc_id").groupBy("f1").agg(F.min(F.struct("doc_id", "family", "tiles")).alias("x")).join(weights, "f1").select("x.*", "f1", "weight")
+    members = members.join(vectors.drop("counts"), "doc_id").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "family", "tiles")).alias("x")).join(weights, ["f1", "f2"]).select("x.*", "f1", "f2", "weight")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = T.text_buffers(batch.column(1))
-            f1 = batch.column(4).to_pylist()
+            own = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
             rows, data = [], []
             for r, s in ngram_sets(raw, off, n):
-                if set_id(s, 1) == f1[r]:  # of rows that share an id, those with the set that is meant
+                if set_id(s) == own[r]:  # of rows that share an id, those with the set that is meant
                     rows.append(r), data.append(s.tobytes())
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (0, 2, 3, 4, 5)), pa.array(data, pa.binary())], names=["doc_id", "family", "tiles", "f1", "weight", "grams"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (0, 2, 3, 4, 5, 6)), pa.array(data, pa.binary())], names=["doc_id", "family", "tiles", "f1", "f2", "weight", "grams"])
 
-    texts = source.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "family", "tiles", "f1", "weight")
-    placed = tiled(texts.mapInArrow(sets, f"doc_id {key_type}, family {key_type}, tiles int, f1 long, weight long, grams binary"), "family", "doc_id", "f1", "weight", "grams")
+    texts = source.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "family", "tiles", "f1", "f2", "weight")
+    placed = tiled(texts.mapInArrow(sets, f"doc_id {key_type}, family {key_type}, tiles int, f1 long, f2 long, weight long, grams binary"), "family", "doc_id", "f1", "f2", "weight", "grams")
 
     def search(group: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        group = group.take(pa.array(np.sort(np.unique(np.asarray(group["f1"]), return_index=True)[1])))  # repeated rows
+        group = group.take(pa.array(np.sort(np.unique(np.stack([np.asarray(group["f1"]), np.asarray(group["f2"])]), axis=1, return_index=True)[1])))  # repeated rows
         grams = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["grams"]]
         found, total = verified(grams, percent, np.asarray(group["weight"]), np.asarray(group["tile"]) if i != j else None)
         ids, some = group["doc_id"].combine_chunks(), np.flatnonzero(total)
-        none = lambda k, kind: pa.nulls(k, kind)
+        names = ["u", "v", "f1", "f2", "n"]
         ends = [ids.take(pa.array([x[k] for x in found], pa.int64())) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*ends, none(len(found), pa.int64()), none(len(found), pa.int64())], names=["u", "v", "f1", "n"])
-        counted = group["f1"].combine_chunks().take(pa.array(some)), pa.array(total[some])
-        yield pa.RecordBatch.from_arrays([none(len(some), ids.type), none(len(some), ids.type), *counted], names=["u", "v", "f1", "n"])
+        yield pa.RecordBatch.from_arrays([*ends, *(pa.nulls(len(found), pa.int64()) for _ in range(3))], names=names)
+        counted = *(group[c].combine_chunks().take(pa.array(some)) for c in ("f1", "f2")), pa.array(total[some])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), ids.type), pa.nulls(len(some), ids.type), *counted], names=names)
 
-    found = cut(arrow_groups(placed, ["family", "i", "j"], ["doc_id"], search, f"u {key_type}, v {key_type}, f1 long, n long"))
+    found = cut(arrow_groups(placed, ["family", "i", "j"], ["doc_id"], search, f"u {key_type}, v {key_type}, f1 long, f2 long, n long"))
     nodes = components(copies.unionByName(found.where("n is null").select("u", "v")), "u", "v").withColumnRenamed("node", "doc_id")
-    linked = weights.join(found.where("n is not null").groupBy("f1").agg(F.sum("n").alias("n")), "f1", "left").select("f1", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    got = each.select("doc_id", "n_shingles", "f1").join(linked.where("n_links > 0"), "f1", "left").join(nodes, "doc_id", "left")
+    linked = weights.join(found.where("n is not null").groupBy("f1", "f2").agg(F.sum("n").alias("n")), ["f1", "f2"], "left").select("f1", "f2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    got = each.select("doc_id", "n_shingles", "f1", "f2").join(linked.where("n_links > 0"), ["f1", "f2"], "left").join(nodes, "doc_id", "left")
     n_links = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("n_links"))
     return got.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those that a smaller doc_id of their component stands for.
+def _row_key(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """A string for each row that differs with its id or text, in the order of the ids; rows without an id come last."""
+    kind = dict(docs.dtypes)[doc_id]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        of_id = F.lpad(F.hex(F.col(doc_id).cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    else:
+        of_id = F.col(doc_id).cast("string")
+    return F.concat(F.when(F.col(doc_id).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), of_id)), F.lit("|"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without those that another row of their component stands for, with the columns they have.
 
-    Rows that repeat a doc_id are reduced to one; rows with a null doc_id stay.
+    Decided by rows: of linked texts the one with the smallest doc_id stays, of equal ids the smallest MD5 of the text.
+    Rows that share an id but have different texts are apart; rows equal in id and text are reduced to one; rows
+    without an id are compared too and come after all others.  Empty and null texts link with nothing; of such rows with
+    one id (or none) one stays.
     """
-    key = options.get("doc_id", "doc_id")
-    kept = join(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull())).select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes
+    at = dict(zip(docs.columns, names, strict=True))
+    own = docs.toDF(*names)
+    own = own.withColumn("key", _row_key(own, at[doc_id], at[text]))
+    kept = join(own, doc_id="key", text=at[text], **options).where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    return own.join(kept, "key", "left_semi").dropDuplicates(["key"]).drop("key").toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), n=3, percent=90).drop("n_links")  # the columns of the SQL
+    return join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
 SQL = r"""
@@ -416,6 +427,11 @@ WITH RECURSIVE d AS (
   SELECT a, b FROM p WHERE 100 * i >= 90 * (na + nb - i)
   UNION SELECT rep, doc_id FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) JOIN u USING (g) WHERE doc_id <> rep
 ), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e
+), class AS (SELECT doc_id, rep, count(*) OVER (PARTITION BY rep) AS copies FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) JOIN u USING (g)
+), met AS (SELECT a, b FROM p WHERE 100 * i >= 90 * (na + nb - i) UNION ALL SELECT b, a FROM p WHERE 100 * i >= 90 * (na + nb - i)
+), reps AS (SELECT rep, any_value(copies) AS copies FROM class GROUP BY rep
+), other AS (SELECT met.a AS rep, sum(reps.copies) AS n FROM met JOIN reps ON reps.rep = met.b GROUP BY met.a
 ), walk(node, seen) AS (SELECT doc_id, doc_id FROM s UNION SELECT w.node, b FROM walk w JOIN both_ways ON a = w.seen)
-SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT node, min(seen) AS component_id FROM walk GROUP BY node) c ON c.node = s.doc_id
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id, CAST(coalesce(class.copies - 1 + coalesce(other.n, 0), 0) AS BIGINT) AS n_links
+FROM s JOIN (SELECT node, min(seen) AS component_id FROM walk GROUP BY node) c ON c.node = s.doc_id LEFT JOIN class ON class.doc_id = s.doc_id LEFT JOIN other ON other.rep = class.rep
 """

@@ -75,11 +75,18 @@ def test_join_counts_all_links(spark, percent, tile):
     assert max(w[2] for w in want) > 20
 
 
+def spark_of(df):
+    return df.sparkSession
+
+
 def test_join_edges(edge_docs, no_docs):
     got = ngram_join.join(edge_docs, n=3, percent=90).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted([(1, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1), (8, 8), (None, None)], key=repr)
     assert ngram_join.join(no_docs).count() == 0
     kept = ngram_join.keep_first(edge_docs)
+    again = [(1, prose(1, 60)), (1, prose(2, 60)), (3, prose(2, 60)), (-4, prose(3, 60)), (1, prose(3, 60)), (None, prose(1, 60)), (None, prose(9, 60)), (None, prose(9, 60)), (9, ""), (10, None)]
+    left = ngram_join.keep_first(spark_of(edge_docs).createDataFrame(again, "doc_id long, text string").withColumn("key", F.lit(1)))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([again[0], again[1], again[3], again[6], again[8], again[9]], key=repr)
     assert kept.columns == edge_docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [1, 2, 3, 4, 5, 6, 8, None]))
 
 
