@@ -28,9 +28,18 @@ def training_ids(labels: DataFrame, label: str, allowed, rows: int = TRAIN_ROWS)
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def held_out(column: str, mod: int, rest: int):
+    """Whether the id's remainder is ``rest``; a null id isn't held out (it has no label)."""
+    return F.coalesce(remainder(column, mod) == rest, F.lit(False))
+
+
 def labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text, y); the ids are at most as many as training_ids gives, so they go to all tasks."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    """(doc_id, text, y), one row an id: of rows that share it the smallest text, null as empty.
+
+    The ids are at most as many as training_ids gives, so they go to all tasks, and what comes back is no more.
+    """
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return some.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def _matrix(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -41,7 +50,11 @@ def _matrix(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed, *, label: str = "quality", rows: int = TRAIN_ROWS, **options) -> gbt.Trees:
-    """The model learnt from labelled rows for which the column ``allowed`` holds."""
+    """The model learnt from labelled rows for which the column ``allowed`` holds.
+
+    ``docs`` has columns doc_id and text, ``labels`` doc_id and ``label``; others play no part.  Each labelled id counts once,
+    however often its document or its label is repeated; no labels, or one kind only, give a constant score.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,4 +95,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
     got = score(docs, model, keep=["doc_id"], name="score")
-    return got.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return got.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

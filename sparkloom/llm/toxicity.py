@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from . import features, gbt
 from . import textkit as T
-from .common import table
-from .quality import TRAIN_ROWS, labelled, remainder, training_ids
+from .common import cut, table
+from .quality import TRAIN_ROWS, held_out, labelled, remainder, training_ids
 
 INSULTS = (
     "idiot idiots idiotic stupid moron morons moronic loser losers trash scum worthless pathetic clown clowns disgusting dumb dumbass fool fools "
@@ -170,8 +170,14 @@ def learn_lexicon(sample: DataFrame, n_pos: int, n_neg: int, evidence: float = 2
     return Lexicon(tuple(np.sort(strong.loc[strong["k"] == k, "h"].to_numpy(dtype=np.int64).view(np.uint64)) for k in BEGINNINGS))
 
 
+#: Part of the raw score in a score: a slope that parts what one step of the calibration holds.
+SLOPE = 0.02
+
+
 @dataclass
 class Model:
+    """A score is 0.98 of the isotonic calibration of the trees' probability and 0.02 (``SLOPE``) of that probability."""
+
     lexicon: Lexicon
     trees: gbt.Trees
     at: np.ndarray
@@ -179,15 +185,20 @@ class Model:
 
     def score(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         p = self.trees.probability(matrix(raw, off, self.lexicon))
-        return np.clip(0.98 * np.interp(p, self.at, self.to) + 0.02 * p, 0, 1)  # the slope parts ties of a step
+        return np.clip((1 - SLOPE) * np.interp(p, self.at, self.to) + SLOPE * p, 0, 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed, *, label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Learns from labelled rows for which ``allowed`` holds: a lexicon, trees on four fifths, calibration on a fifth."""
+    """Learns from labelled rows for which ``allowed`` holds: lexicon and trees on four fifths, calibration on the other fifth.
+
+    ``docs`` has columns doc_id and text, ``labels`` doc_id and ``label``; others play no part.  Each labelled id counts once,
+    however often its document or its label is repeated; no labels, or one kind only, give a constant score.
+    """
     ids = training_ids(labels, label, allowed, rows)
-    sample = labelled(docs, ids)
-    size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    lexicon = learn_lexicon(sample, size.get(1, 0), size.get(0, 0))
+    sample = cut(labelled(docs, ids).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0))
+    learns = sample.where(~F.col("calibrates"))
+    size = {r["y"]: r["n"] for r in learns.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    lexicon = learn_lexicon(learns.select("doc_id", "text", "y"), size.get(1, 0), size.get(0, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,32 +206,32 @@ def train(docs: DataFrame, labels: DataFrame, allowed, *, label: str = "toxic",
             for i, j in T.chunks(off):
                 x = matrix(raw, off[i : j + 1], lexicon)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "calibrates", "x"])
 
-    got = sample.mapInArrow(run, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, x binary").toPandas().sort_values(["doc_id", "x"])
+    got = sample.mapInArrow(run, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, calibrates boolean, x binary").toPandas().sort_values("doc_id")
     x = np.array([np.frombuffer(v) for v in got["x"]]).reshape(len(got), len(NAMES))
-    y = got["y"].to_numpy(dtype=float)
-    fold = np.arange(len(got)) % 5 == 0
+    y, fold = got["y"].to_numpy(dtype=float), got["calibrates"].to_numpy(dtype=bool)
     trees = gbt.fit(x[~fold], y[~fold], trees=60)
     return Model(lexicon, trees, *gbt.isotonic(trees.probability(x[fold]), y[fold]))
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]) -> DataFrame:
-    """``keep`` columns and the score of every row; null counts as empty text, an empty table gives no rows."""
-    source = docs.select(*keep, F.col(text).alias("__text"))
+def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str], name: str = "__score") -> DataFrame:
+    """``keep`` columns and the score of every row, as column ``name`` (none of ``keep``); null counts as empty text, an empty table gives no rows."""
+    names = [f"c{i}" for i in range(len(keep))]  # so that no column clashes
+    source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = T.text_buffers(batch.column(batch.num_columns - 1))
             for i, j in T.chunks(off):
                 cols = [c.slice(i, j - i) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(raw, off[i : j + 1]))], names=[*batch.schema.names[:-1], "__score"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(raw, off[i : j + 1]))], names=[*names, "score"])
 
-    return source.mapInArrow(run, source.drop("__text").schema.add("__score", "double"))
+    return source.mapInArrow(run, source.drop("text").schema.add("score", "double")).toDF(*keep, name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    got = score(docs, model, keep=["doc_id"]).withColumnRenamed("__score", "score")
-    return got.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    got = score(docs, model, keep=["doc_id"], name="score")
+    return got.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
