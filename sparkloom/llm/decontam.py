@@ -1,9 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 ``index`` stores the postings of all words of the training texts: for each term and block of documents the sorted
-positions, as differences in as few bytes as hold them.  The table is dealt by term and block, so that the list of a
-frequent term lies in many partitions, and is written once, in the folder that the cluster shares; a search reads it as
-often as it needs.  Terms are stored as they are, so that no hash decides a match.
+positions, as differences in as few bytes as hold them.  Terms go to buckets by their hash; a row holds the lists of
+one bucket in one block.  The table is dealt by bucket and block, so that the list of a frequent term lies in many
+partitions, and is written once, in the folder that the cluster shares; a search reads it as often as it needs.  Terms
+are stored as they are, so that no hash decides a match.
 
 A search takes the terms of the test windows, counts them in the index, and fetches their lists by block.  In a block
 each window starts from the list of its rarest term, moved back by the term's offset; that is intersected with the lists
@@ -31,6 +32,7 @@ from . import textkit as T
 from .common import arrow_groups, cut, stored, table
 
 NOTHING = hashlib.sha256(b"").hexdigest()
+BUCKETS = 32
 #: Consecutive words in which the words of a window must stand for a proximity match, in windows.
 NEAR = 2
 
@@ -41,56 +43,64 @@ def words_of(text: str | None) -> list[str]:
     return [w.decode() for w in T.Words(raw, off, T.ALNUM_WORDS).text(0, 1 << 62)]
 
 
-def pack_positions(position: np.ndarray, count: np.ndarray) -> list[bytes]:
-    """Each run of ``count`` ascending positions as differences of one, two or four bytes."""
+def pack_positions(position: np.ndarray, count: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Each run of ``count`` ascending positions as differences, and the bytes (1, 2 or 4) that one takes in each run."""
     if not len(count):
-        return []
+        return [], np.empty(0, np.uint8)
     end = np.cumsum(count)
     begin = end - count
     step = np.diff(position, prepend=0)
     step[begin] = position[begin]
-    width = np.maximum.reduceat(step, begin)
-    kinds = [np.uint8 if w < 1 << 8 else np.uint16 if w < 1 << 16 else np.uint32 for w in width.tolist()]
-    return [step[a:b].astype(k).tobytes() for a, b, k in zip(begin.tolist(), end.tolist(), kinds, strict=True)]
+    most = np.maximum.reduceat(step, begin)
+    width = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4)).astype(np.uint8)
+    narrow = {k: step.astype(f"<u{k}").tobytes() for k in np.unique(width).tolist()}
+    return [narrow[k][a * k : b * k] for a, b, k in zip(begin.tolist(), end.tolist(), width.tolist(), strict=True)], width
 
 
 def unpack_positions(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, dtype=f"u{len(data) // n}").astype(np.int64))
+    return np.cumsum(np.frombuffer(data, dtype=f"<u{len(data) // n}").astype(np.int64))
 
 
 def index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The stored index of a table: rows of postings, and one row of the directory for each block.
 
-    Postings: block, term, n (occurrences), positions (in words of the block).  Directory: block, ids (of its rows, in
-    order, null ids and repeated rows included) and firsts (the position of each row's first word, and the number of words).
+    Postings: block, bucket, terms (between blanks), and for each of them its occurrences (n), the bytes of a difference
+    (widths) and its positions in words of the block, one after the other.  Directory: block, ids (of its rows, in order,
+    null ids and repeated rows included) and firsts (the position of each row's first word, and the number of words).
     A null text has no words; an empty table has an index without rows.  Other columns play no part.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        names = ["block", "term", "n", "positions", "ids", "firsts"]
+        names = ["block", "bucket", "terms", "n", "widths", "positions", "ids", "firsts"]
         for batch in batches:
             raw, off = T.text_buffers(batch.column(1))
             ids = batch.column(0)
             for i, j in T.chunks(off):
                 w = T.Words(raw, off[i : j + 1], T.ALNUM_WORDS)
                 where, term = T.distinct_spans(w.raw, w.start, w.end)
-                count = np.bincount(term, minlength=len(where))
-                position = np.argsort(term, kind="stable")
-                content = [w.raw[a:b].tobytes().decode() for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)]
-                k = len(where)
+                bucket = (w.hash[where] % T.U64(BUCKETS)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")  # terms by bucket, positions by term in that order
+                place = np.empty(len(where), dtype=np.int64)
+                place[order] = np.arange(len(where))
+                count = np.bincount(place[term], minlength=len(where)).astype(np.int32)
+                lists, width = pack_positions(np.argsort(place[term], kind="stable"), count)
+                content = [w.raw[a:b].tobytes() for a, b in zip(w.start[where[order]].tolist(), w.end[where[order]].tolist(), strict=True)]
+                ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+                some = [(k, a, b) for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
+                blobs = [[b" ".join(content[a:b]) for _, a, b in some], [count[a:b].tobytes() for _, a, b in some], [width[a:b].tobytes() for _, a, b in some], [b"".join(lists[a:b]) for _, a, b in some]]
                 own = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids.slice(i, j - i))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), own, pa.array([w.first.astype(np.int64).tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(4)), own, pa.array([w.first.astype(np.int64).tobytes()], pa.binary())], names=names)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(k, block)), pa.array(content, pa.string()), pa.array(count.astype(np.int32)), pa.array(pack_positions(position, count), pa.binary()),
-                    pa.nulls(k, own.type), pa.nulls(k, pa.binary()),
+                    pa.array([block] * len(some), pa.int64()), pa.array([k for k, _, _ in some], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs),
+                    pa.nulls(len(some), own.type), pa.nulls(len(some), pa.binary()),
                 ], names=names)
                 block += 1
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = source.mapInArrow(run, f"block long, term string, n int, positions binary, ids array<{kind}>, firsts binary")
-    return stored(rows.repartition("term", "block"))
+    rows = source.mapInArrow(run, f"block long, bucket int, terms binary, n binary, widths binary, positions binary, ids array<{kind}>, firsts binary")
+    return stored(rows.repartition("bucket", "block"))
 
 
 @dataclass
@@ -214,12 +224,27 @@ class Lists:
 
 def _search(stored_index: DataFrame, phrases: Phrases, run, schema: str) -> DataFrame:
     """``run`` over (block, lists) of all blocks, with the offsets by rarity; what it yields are rows of ``schema``."""
-    spark = stored_index.sparkSession
-    vocabulary = F.broadcast(spark.createDataFrame(list(zip(phrases.terms, range(len(phrases.terms)), strict=True)), "term string, t int"))  # bounded by a block of the test set
-    postings = stored_index.where("term is not null").join(vocabulary, "term").select("block", "t", "n", "positions")
+    number = {t.encode(): i for i, t in enumerate(phrases.terms)}  # goes to all tasks: bounded by a block of the test set
+    buckets = sorted({T.word_hash(t) % BUCKETS for t in number})
+
+    def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, found, n, positions = [], [], [], []
+            for i, block in enumerate(batch.column(0).to_pylist()):
+                count, width = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=t).astype(np.int64) for k, t in ((2, np.int32), (3, np.uint8)))
+                end = np.cumsum(count * width)
+                data = batch.column(4)[i].as_buffer()
+                hits = [(k, t) for k, w in enumerate(batch.column(1)[i].as_py().split(b" ")) if (t := number.get(w)) is not None]
+                for k, t in hits:
+                    blocks.append(block), found.append(t), n.append(count[k])
+                    positions.append(data[int(end[k] - count[k] * width[k]) : int(end[k])].to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(found, pa.int32()), pa.array(n, pa.int32()), pa.array(positions, pa.binary())], names=["block", "t", "n", "positions"])
+
+    rows = stored_index.where(F.col("bucket").isin(buckets)) if buckets else stored_index.limit(0)
+    postings = rows.select("block", "terms", "n", "widths", "positions").mapInArrow(lists_of, "block long, t int, n int, positions binary")
     counts = {r["t"]: r["n"] for r in postings.groupBy("t").agg(F.sum("n").alias("n")).collect()}  # a row a test term
     order = phrases.by_rarity(np.array([counts.get(t, 0) for t in range(len(phrases.terms))], dtype=np.int64))
-    directory = stored_index.where("term is null").select("block", F.lit(-1).alias("t"), F.lit(0).alias("n"), F.col("firsts").alias("positions"))
+    directory = stored_index.where("bucket is null").select("block", F.lit(-1).alias("t"), F.lit(0).alias("n"), F.col("firsts").alias("positions"))
 
     def block(group: pa.Table) -> Iterator[pa.RecordBatch]:
         terms, n = group["t"].to_pylist(), group["n"].to_pylist()
@@ -243,7 +268,7 @@ def _documents(stored_index: DataFrame) -> DataFrame:
                 n = len(first) - 1
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.arange(n, dtype=np.int32)), batch.column(1)[i].values, pa.array(np.diff(first))], names=["block", "row", "doc_id", "n_words"])
 
-    return stored_index.where("term is null").select("block", "ids", "firsts").mapInArrow(run, f"block long, row int, doc_id {kind}, n_words long")
+    return stored_index.where("bucket is null").select("block", "ids", "firsts").mapInArrow(run, f"block long, row int, doc_id {kind}, n_words long")
 
 
 def search(stored_index: DataFrame, benchmark: DataFrame, *, item_id: str = "item_id", item_text: str = "text", window: int = 13, near: int = NEAR, block_mb: float = 2) -> DataFrame:

@@ -232,7 +232,8 @@ def test_positions_are_packed_without_loss():
     rng = np.random.default_rng(2)
     count = rng.integers(1, 9, 300)
     position = np.concatenate([np.sort(rng.choice(10 ** int(rng.integers(1, 8)) + 9, n, replace=False)) for n in count])
-    packed = decontam.pack_positions(position, count)
+    packed, width = decontam.pack_positions(position, count)
+    assert [len(d) for d in packed] == (count * width).tolist()
     assert np.concatenate([decontam.unpack_positions(d, int(n)) for d, n in zip(packed, count)]).tolist() == position.tolist()
 
 
