@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -94,6 +95,35 @@ def components(edges: DataFrame, u: str, v: str, max_rounds: int = 60) -> DataFr
     )
 
 
+def numbered(rows: DataFrame, group: str, key: str, ties: list[str], bits: int, rows_a_task: int) -> DataFrame:
+    """``rows`` with ``i``: the place of each row in its group, from 0 without gaps, in the order of ``key`` (a number of so many bits), then ``ties``.
+
+    Rows are numbered in buckets of the key, and the buckets' counts shift them; so no task holds a whole group.  Where one key
+    has more rows than a task should take, it becomes buckets of its own, cut by the first of the ties (64 bits).
+    The rows must be the same whenever they are computed; rows equal in key and ties take their places by chance, so
+    ties should leave none that differ.
+    """
+    total = rows.count()
+    cut_at = bits - max(0, math.ceil(math.log2(max(1, total) / rows_a_task)))
+    placed = rows.withColumn("bucket", F.shiftright(key, cut_at)).withColumn("part", F.lit(0)).withColumn("slice", F.lit(0))
+    heavy = placed.groupBy(group, "bucket").agg(F.count("*").alias("n")).where(F.col("n") > 4 * rows_a_task).select(group, "bucket")
+    if not heavy.isEmpty():
+        hot = placed.join(heavy, [group, "bucket"], "left_semi").groupBy(group, "bucket", key).agg(F.count("*").alias("n")).where(F.col("n") > 2 * rows_a_task)
+        hot = cut(hot.groupBy(group, "bucket").agg(F.array_sort(F.collect_list(key)).alias("hot"), F.max("n").alias("most")))  # of a bucket at most as many as its rows / rows_a_task
+        placed = placed.drop("part", "slice").join(hot, [group, "bucket"], "left")
+        own = F.coalesce(F.array_contains("hot", F.col(key)), F.lit(False))
+        below = F.coalesce(F.size(F.filter("hot", lambda x: x < F.col(key))), F.lit(0))
+        slices = F.ceil(F.col("most") / rows_a_task)
+        # The first tie's upper 31 bits, from 0 on, in as many slices.
+        upper = F.shiftright(ties[0], 33) + F.lit(1 << 30)
+        placed = placed.withColumn("part", 2 * below + own.cast("int")).withColumn("slice", F.when(own, F.floor(upper * slices / F.lit(1 << 31)).cast("int")).otherwise(0)).drop("hot", "most")
+    at = ["bucket", "part", "slice"]
+    before = Window.partitionBy(group).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    start = placed.groupBy(group, *at).agg(F.count("*").alias("n")).select(group, *at, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inner = F.row_number().over(Window.partitionBy(group, *at).orderBy(key, *ties)) - 1
+    return placed.withColumn("inner", inner).join(start, [group, *at]).withColumn("i", F.col("start") + F.col("inner")).drop(*at, "inner", "start")
+
+
 def rows_of_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the consecutive rows with equal keys, of a partition sorted by them."""
     held: list[pa.RecordBatch] = []

@@ -4,7 +4,7 @@ A source's documents form blocks.  With integer weights W of sum P, the j-th blo
 released at floor(j P / W) and due at ceil((j + 1) P / W); earliest deadline first, one block a slot, then
 meets all deadlines, and after any number of slots each source has its share to within less than one block.
 The schedule repeats every P slots, so its one period is planned on the driver (P is a parameter's
-size, whatever the data) and every block finds its slot by arithmetic.
+size, whatever the data, and checked) and every block finds its slot by arithmetic.
 
 No row is dropped or repeated: where a source has run out, its slots are closed up and the others keep
 their proportions.  Rows are numbered by prefix sums over bounded buckets, never in one task for a source.
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, table
 from .sharding import BITS, _key
 
 PERIOD = 1000
@@ -51,40 +51,42 @@ def schedule(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, *, weights: dict[str, int] | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = 16, max_sources: int = 5000) -> DataFrame:
+def mix(docs: DataFrame, *, weights: dict[str, int] | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = 16, max_period: int = 100_000) -> DataFrame:
     """The rows of ``docs`` in mixed order, with mix_block, mix_release, mix_deadline and mix_slot.
 
     mix_block: number of the row's block in its source; release and deadline: in slots of the schedule; mix_slot: the row's
     place in the mixture, from 0 without gaps.  Rows lie in that order in the result's partitions.  Null sources are one
     source with the empty name.  ``weights`` must be positive integers and name every source; without them weights follow
-    the square roots of the sources' counts.  Within a source rows go by the MD5 of their id (null: empty), then by id.  An
-    empty table gives no rows.  Columns of ``docs`` named as those added are replaced.
+    the square roots of the sources' counts.  They are divided by their common divisor; their sum, the slots of the schedule
+    that goes to all tasks, is at most ``max_period``, so there are no more sources either.  Within a source rows go by the MD5
+    of their id (null: empty), then by a hash of the row and its place in the input.  An empty table gives no rows.  Columns of ``docs`` named as those added are replaced.
     """
     added = ["mix_block", "mix_release", "mix_deadline", "mix_slot"]
     docs = docs.drop(*added)
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    counts = {r["s"]: r["n"] for r in docs.groupBy(name.alias("s")).agg(F.count("*").alias("n")).limit(max_sources + 1).collect()}
-    if len(counts) > max_sources:
-        raise ValueError("more sources than max_sources: mix groups of sources")
+    counts = {r["s"]: r["n"] for r in docs.groupBy(name.alias("s")).agg(F.count("*").alias("n")).limit(max_period + 1).collect()}
     weights = weights or temper(counts)
     if missing := sorted(set(counts) - set(weights)):
         raise ValueError(f"no weight for {missing[:5]}")
     weights = {s: weights[s] for s in sorted(counts)}
     if any(w < 1 or w != int(w) for w in weights.values()):
         raise ValueError("weights must be positive integers")
+    common = math.gcd(*weights.values()) or 1
+    weights = {s: w // common for s, w in weights.items()}
     period = sum(weights.values())
+    if period > max_period:
+        raise ValueError(f"the weights' schedule has {period} slots, over max_period: take smaller weights or mix groups of sources")
     plan = [{"s": s, "w": weights[s], "j": j, "release": a, "deadline": b, "at": t} for s, j, a, b, t in schedule(weights)]
     plan_schema = "array<struct<s: string, w: int, j: int, release: long, deadline: long, at: long>>"
     slots = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), plan_schema)))
     width = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"s": s, "w": w} for s, w in weights.items()])), "array<struct<s: string, w: int>>")))
 
-    bits = max(0, math.ceil(math.log2(max(1, sum(counts.values())) / ROWS_A_TASK)))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), name.alias("s"), F.col(doc_id).alias("id"), _key(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("k"))
-    rows = rows.withColumn("bucket", F.shiftright("k", BITS - bits))
-    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = rows.groupBy("s", "bucket").agg(F.count("*").alias("n")).select("s", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("s", "bucket").orderBy("k", "id")) - 1
-    rows = rows.withColumn("i", place).join(start, ["s", "bucket"]).withColumn("i", F.col("start") + F.col("i"))
+    own = F.struct(*docs.columns)
+    rows = docs.select(own.alias("row"), name.alias("s"), F.col(doc_id).alias("id"), _key(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("k"))
+    # Ties of the id's key go by a hash of the whole row and then of its place in the input, so that the order is total.
+    hashable = [f"row.{f.name}" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = rows.withColumn("tie", F.xxhash64(*hashable, F.monotonically_increasing_id()))
+    rows = numbered(rows, "s", "k", ["tie"], BITS, ROWS_A_TASK)
     block, inner = F.expr(f"i div {block_rows}"), F.col("i") % block_rows
     rows = rows.withColumn("block", block).withColumn("inner", inner).join(F.broadcast(width), "s")  # as many rows as sources
     rows = rows.withColumn("cycle", F.expr("block div w")).withColumn("j", (F.col("block") % F.col("w")).cast("int"))

@@ -12,13 +12,12 @@ second key.  Sizes so differ from equal ones by less than the tolerance and one
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, numbered, table
 
 BITS, COARSE, FINE = 60, 12, 8
 ROWS_A_TASK = 4096
@@ -110,22 +109,26 @@ def assign(docs: DataFrame, *, shards: int = 16, tolerance: float = 0.02, doc_id
     """
     rows = cut(keys(docs, doc_id, text))
     placed = rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance)))
-    bits = max(0, math.ceil(math.log2(max(1, rows.count()) / shards / ROWS_A_TASK)))
-    placed = placed.withColumn("bucket", F.shiftright("k2", BITS - bits))
-    order = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
-    inner = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("k2", "k1", "doc_id"))
-    got = placed.select("*", inner.alias("r")).join(start, ["shard", "bucket"])
-    return got.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("r") - 1).cast("long").alias("slot"))
+    got = numbered(placed.withColumn("tie", F.shiftleft("k1", 3)), "shard", "k2", ["tie", "doc_id"], BITS, ROWS_A_TASK)
+    return got.select("doc_id", "size", "text_crc32", "shard", F.col("i").cast("long").alias("slot"))
 
 
 def write(docs: DataFrame, path: str, *, shards: int = 16, tolerance: float = 0.02, doc_id: str = "doc_id", text: str = "text", files: int = 8) -> None:
-    """Writes ``docs`` as path/shard=N/, each shard in at most ``files`` files; texts are exchanged once."""
+    """Writes ``docs`` as path/shard=N/, each shard in at most ``files`` files; texts are exchanged once.
+
+    Null texts count as empty and null ids as empty strings; repeated rows are written as often as they are there.  A column of
+    ``docs`` named shard would clash with the folders' and is an error; any other name is kept.  An empty table writes no rows.
+    """
+    if "shard" in (c.lower() for c in docs.columns):
+        raise ValueError("docs has a column shard; rename it")
     rows = cut(keys(docs, doc_id, text))
-    t = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    full = docs.withColumn("k1", _key(t)).withColumn("k2", _key(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")))
-    full = full.withColumn("shard", shard_of(splitters(rows, shards, tolerance))).withColumn("part", F.pmod("k2", F.lit(files)))
-    full.repartition(shards * files, "shard", "part").drop("k1", "k2", "part").write.partitionBy("shard").parquet(path)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes
+    at = dict(zip(docs.columns, names, strict=True))
+    t = F.coalesce(F.col(at[text]), F.lit("")).cast("binary")
+    full = docs.toDF(*names).withColumn("k1", _key(t)).withColumn("k2", _key(F.coalesce(F.col(at[doc_id]).cast("string"), F.lit("")).cast("binary")))
+    full = full.withColumn("shard", shard_of(splitters(rows, shards, tolerance))).withColumn("part", F.pmod(F.xxhash64("k2", F.monotonically_increasing_id()), F.lit(files)))
+    full = full.repartition(shards * files, "shard", "part").select(*names, "shard").toDF(*docs.columns, "shard")
+    full.write.partitionBy("shard").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

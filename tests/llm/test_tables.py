@@ -98,6 +98,44 @@ def test_mix_equals_brute_force(spark, edge_docs, no_docs):
             mixing.mix(docs, weights=bad)
 
 
+def test_a_hot_id_is_cut_and_numbered_without_gaps(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_A_TASK", 8)
+    monkeypatch.setattr(sharding, "ROWS_A_TASK", 8)
+    rows = [(7, prose(i, 3), "a") for i in range(300)] + [(None, prose(i, 3), "ab"[i % 2]) for i in range(300)] + [(i, prose(i, 9), "abc"[i % 3]) for i in range(300)] + [(5, "same", "a")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).cache()
+    got = mixing.mix(docs, weights={"a": 2, "b": 4, "c": 2}, block_rows=4)
+    assert sorted(r.mix_slot for r in got.collect()) == list(range(len(rows)))
+    assert Counter((r.doc_id, r.text, r.source) for r in got.collect()) == Counter(rows)
+    parts = sharding.assign(docs, shards=3).collect()
+    slots = {}
+    for r in parts:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    place = shard_brute([r[:2] for r in rows], 3)
+    key = lambda b: int(hashlib.md5(b).hexdigest()[:15], 16)
+    by_place = {}
+    for i, t, _ in rows:
+        by_place.setdefault(place(i, t), []).append((key(str(i).encode() if i is not None else b""), key(t.encode()), i, t))
+    want = Counter((i, zlib.crc32(t.encode()), s, k) for s, own in by_place.items() for k, (_, _, i, t) in enumerate(sorted(own, key=lambda x: x[:2])))
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in parts) == want
+
+
+def test_long_schedules_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, source string")
+    assert mixing.mix(docs, weights={"a": 10**9, "b": 10**9}).count() == 2  # as one to one
+    with pytest.raises(ValueError):
+        mixing.mix(docs, weights={"a": 10**8, "b": 1})
+
+
+def test_shard_files_keep_all_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(i if i % 9 else None, prose(i % 50, 20) if i % 7 else None, i, i, i) for i in range(200)], "doc_id long, text string, k1 int, k2 int, part int")
+    sharding.write(docs, str(tmp_path / "out"), shards=4, files=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, back.drop("shard").collect())) == sorted(map(repr, docs.collect()))
+    with pytest.raises(ValueError):
+        sharding.write(back, str(tmp_path / "again"))
+
+
 def test_licenses(spark, edge_docs, no_docs):
     texts = [
         "Released under the MIT License.", "x\nThis work is licensed under the GNU General Public License, version 3.\ny", "mit mit und der Mit.",
