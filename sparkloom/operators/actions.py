@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import copy
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, Row
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,13 +61,45 @@ def is_empty(df: DataFrame) -> bool:
 
 
 def for_each(df: DataFrame, f: Callable) -> None:
+    """f(row) on the executors; a retried task calls it again."""
     df.foreach(f)
 
 
 def for_each_partition(df: DataFrame, f: Callable) -> None:
+    """f(rows) once for each partition, empty ones too; a retried task calls it again."""
     df.foreachPartition(f)
 
 
+def task_info() -> dict[str, int]:
+    """Inside a task: its partition, stage and attempt; outside of one, nothing."""
+    context = TaskContext.get()
+    return {"partition": context.partitionId(), "stage": context.stageId(), "attempt": context.attemptNumber()} if context else {}
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str, *, seconds: float | None = None) -> Iterator[None]:
+    """Jobs started inside belong to ``tag``: cancel() stops them, and so does the end of ``seconds``.
+
+    A stopped action raises on the driver; its running tasks are interrupted.
+    """
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    timer = threading.Timer(seconds, cancel, (spark, tag)) if seconds is not None else None
+    if timer:
+        timer.start()
+    try:
+        yield
+    finally:
+        if timer:
+            timer.cancel()
+        context.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stops the running jobs of ``tag``; none is no error."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
     """The rows, and metrics of those that the first finished action read: retried tasks count once."""
     seen = Observation()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import checked_groups
+
 
 def join(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return a.join(b, list(keys), "inner")
@@ -33,10 +35,13 @@ def subtract_by_key(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return a.join(b.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def cogroup(a: DataFrame, b: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """Each key of either side with the sorted values of both; an absent side has an empty array."""
-    x = a.groupBy(key).agg(F.sort_array(F.collect_list(left)).alias("__l"))
-    y = b.groupBy(key).agg(F.sort_array(F.collect_list(right)).alias("__r"))
+def cogroup(a: DataFrame, b: DataFrame, key: str, left: str, right: str, *, max_group: int | None = None) -> DataFrame:
+    """Each key of either side with the sorted values of both; an absent side has an empty array.
+
+    A key with more than ``max_group`` rows on one side fails the job before its group is gathered.
+    """
+    x = checked_groups(a, key, max_group).groupBy(key).agg(F.sort_array(F.collect_list(left)).alias("__l"))
+    y = checked_groups(b, key, max_group).groupBy(key).agg(F.sort_array(F.collect_list(right)).alias("__r"))
     none = lambda df, c: F.array().cast(dict(df.dtypes)[c])
     return x.join(y, key, "full").select(key, F.coalesce("__l", none(x, "__l")).alias("left_values"), F.coalesce("__r", none(y, "__r")).alias("right_values"))
 

@@ -16,13 +16,20 @@ def reduce_by_key(df: DataFrame, *keys: str, **aggs: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*(a.alias(n) for n, a in aggs.items()))
 
 
+def checked_groups(df: DataFrame, key: str, max_group: int | None) -> DataFrame:
+    """``df``; a key with more than ``max_group`` rows fails the job before any group is gathered.
+
+    Keys are counted with partial sums, and only whether one is over the limit comes back, as a scalar subquery.
+    """
+    if max_group is None:
+        return df
+    over = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max_group).limit(1).agg(F.count("*").alias("n")).scalar()
+    return df.where(F.when(over > 0, F.raise_error(F.lit("a group is over the limit")).cast("boolean")).otherwise(F.lit(True)))
+
+
 def group_by_key(df: DataFrame, key: str, value: str, *, name: str = "values", max_group: int | None = None) -> DataFrame:
     """Each key with its sorted values; a group of more than ``max_group`` fails the job before it is gathered."""
-    if max_group is not None:
-        counts = df.groupBy(key).agg(F.count("*").alias("__n"))
-        ok = counts.select(key, F.when(F.col("__n") > max_group, F.raise_error(F.lit("a group is over the limit"))).otherwise(F.lit(True)).alias("__ok"))
-        df = df.join(ok, df[key].eqNullSafe(ok[key])).drop(ok[key]).where("__ok").drop("__ok")
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(name))
+    return checked_groups(df, key, max_group).groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(name))
 
 
 def combine_by_key(df: DataFrame, key: str, create: Callable[[Column], Column], merge: Callable[[Column], Column], *, value: str, name: str = "combined", finish: Callable[[Column], Column] | None = None) -> DataFrame:

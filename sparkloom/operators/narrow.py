@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import subprocess
+import tempfile
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def map_rows(df: DataFrame, **exprs: Column) -> DataFrame:
@@ -60,20 +64,48 @@ def map_partitions_with_index(df: DataFrame, f: Callable[[int, Iterator[pd.DataF
 
 
 def glom(df: DataFrame, column: str, name: str = "rows") -> DataFrame:
-    """An array a partition, of those that have rows."""
-    return df.withColumn("__p", F.spark_partition_id()).groupBy("__p").agg(F.collect_list(column).alias(name)).select(name)
+    """An array for each partition, an empty one for those without rows; a partition's values must fit a task."""
+    kind = df.schema[column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.column(0) for b in batches]
+        values = pa.concat_arrays(held) if held else pa.array([], arrow_type)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)], names=[name])
+
+    arrow_type = to_arrow_type(df.schema[column].dataType)
+    return df.select(column).mapInArrow(run, f"{name} array<{kind}>")
 
 
 def pipe(df: DataFrame, command: str, column: str = "value") -> DataFrame:
-    """Lines through a shell command, one process a partition; an exit but 0 fails the task with what it wrote to stderr."""
+    """Lines through a shell command, one process a partition; an exit but 0 fails the task with what it wrote to stderr.
+
+    Lines are fed and taken as they come, so a partition needs no memory for them.  A null is an empty line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = "".join(f"{x}\n" for b in batches for x in b.column(0).to_pylist())
-        done = subprocess.run(["sh", "-c", command], input=lines.encode(), capture_output=True, check=False)
-        if done.returncode:
-            raise RuntimeError(f"pipe: exit {done.returncode}: {done.stderr.decode(errors='replace')}")
-        out = done.stdout.decode().split("\n")
-        yield pa.RecordBatch.from_arrays([pa.array(out[:-1] if out[-1] == "" else out, pa.string())], names=["value"])
+        with tempfile.TemporaryFile() as said, subprocess.Popen(["sh", "-c", command], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=said) as process:
+            failed: list[BaseException] = []
+
+            def feed() -> None:
+                try:
+                    with process.stdin as to:
+                        for batch in batches:
+                            to.write("".join(f"{'' if x is None else x}\n" for x in batch.column(0).to_pylist()).encode())
+                except BrokenPipeError:
+                    pass  # the command has read what it wants
+                except BaseException as e:  # of the rows themselves: the task fails with it
+                    failed.append(e)
+
+            feeder = threading.Thread(target=feed)
+            feeder.start()
+            while lines := list(itertools.islice(process.stdout, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array([x.decode().removesuffix("\n") for x in lines], pa.string())], names=["value"])
+            feeder.join()
+            if failed:
+                raise failed[0]
+            if process.wait():
+                said.seek(0)
+                raise RuntimeError(f"pipe: exit {process.returncode}: {said.read().decode(errors='replace')}")
 
     return df.select(F.col(column).cast("string").alias("value")).mapInArrow(run, "value string")
 

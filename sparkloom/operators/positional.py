@@ -1,25 +1,56 @@
-"""Positions.  Frames have no order of rows, so each operator names one; equal rows of that order are taken in any."""
+"""Positions.  Frames have no order of rows, so each operator names one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW = (1 << 33) - 1
+SAMPLE_A_PART = 60
 
 
-def zip_with_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
-    """Position from 0 in the order.  Rows are range-partitioned and numbered in their partitions; the partitions' counts shift them."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    ids = ids.withColumn("__p", F.shiftright("__id", 33))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    start = ids.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    out = ids.join(F.broadcast(start), "__p")  # a row a partition
-    return out.withColumn(name, F.col("__start") + F.col("__id").bitwiseAND(F.lit(_LOW))).drop("__p", "__id", "__start")
+def _cut_points(df: DataFrame, order: list[Column], n: int, parts: int) -> list[Column]:
+    """At most parts - 1 places of the order, as literals, near evenly spaced by a sample of bounded size."""
+    keys = df.select(*(c.alias(f"k{i}") for i, c in enumerate(order)))
+    share = min(1.0, SAMPLE_A_PART * parts / max(1, n))
+    rows = (keys.sample(share, seed=17) if share < 1 else keys).orderBy(*keys.columns).limit(4 * SAMPLE_A_PART * parts).collect()
+    picked = [rows[len(rows) * j // parts] for j in range(1, parts)] if len(rows) >= parts else rows[1:]
+    distinct = list(dict.fromkeys(tuple(r) for r in picked))
+    return [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(p, keys.schema.fields, strict=True))) for p in distinct]
+
+
+def _part_of(key: Column, points: list[Column], low: int = 0) -> Column:
+    """How many of the ascending points are at or before the key, by halving."""
+    if not points:
+        return F.lit(low)
+    half = len(points) // 2
+    return F.when(key >= points[half], _part_of(key, points[half + 1 :], low + half + 1)).otherwise(_part_of(key, points[:half], low))
+
+
+def zip_with_index(df: DataFrame, *order: str, name: str = "index", partitions: int | None = None) -> DataFrame:
+    """``df`` with the position of each row in the order, from 0; nulls first, rows of one place by a hash of all their columns.
+
+    The order is cut at places fixed beforehand (from a sample), rows are counted between them, and each part is numbered by
+    itself and shifted by the counts before it.  As the places are literals, every evaluation puts a row into the same
+    part, whatever columns are read with it.  Rows that are equal in all columns share a part.
+    """
+    n = df.count()
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    keys = [F.col(c) for c in order] + [F.xxhash64(*hashed)]
+    points = _cut_points(df, keys, n, max(1, parts)) if n > parts else []
+    struct = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keys)))
+    placed = df.withColumn("__part", _part_of(struct, points))
+    counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    starts, at = [], 0
+    for part in range(len(points) + 1):
+        starts.append(F.lit(at).cast("long"))
+        at += counts.get(part, 0)
+    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)).cast("long") - 1
+    start = F.element_at(F.array(*starts), F.col("__part") + 1)
+    return placed.withColumn(name, inner + start).drop("__part")
 
 
 def zip_frames(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], *, strict: bool = False) -> DataFrame:
@@ -45,10 +76,3 @@ def zip_partitions(frames: list[DataFrame], f: Callable[[list[pd.DataFrame]], pd
         return f([group.loc[group["__f"] == i, columns].reset_index(drop=True) for i in range(n)])
 
     return all_rows.groupBy("__p").applyInPandas(run, schema)
-
-
-def numbered(rows: Iterator[pd.DataFrame], start: int = 0) -> Iterator[pd.DataFrame]:
-    """Batches with a column ``n`` that counts on from batch to batch."""
-    for batch in rows:
-        yield batch.assign(n=range(start, start + len(batch)))
-        start += len(batch)

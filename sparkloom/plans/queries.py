@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import ml
@@ -33,10 +33,28 @@ t = S.table
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
+    """A new folder where the cluster shares one; else where the context's checkpoints are, or a temporary one (one machine)."""
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or (at.get() if at.isDefined() else tempfile.mkdtemp(prefix="sparkloom-"))
     return f"{root.rstrip('/')}/out-{uuid.uuid4().hex}"
 
 
+def _in_order(df: DataFrame, name: str = "pos") -> DataFrame:
+    """``df`` with the place of each row as its partitions hold it, from 0: written once, with each row's partition and place in it."""
+    kept = S.write_checkpoint(df.withColumn("id", F.monotonically_increasing_id()), _folder(df.sparkSession))
+    kept = kept.withColumn("__part", F.shiftright("id", 33))
+    before = {r["__part"]: r["n"] for r in kept.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    if not before:
+        return kept.withColumn(name, F.col("id")).drop("id", "__part")
+    parts = sorted(before)
+    starts = F.create_map(*(F.lit(x) for k, p in enumerate(parts) for x in (p, sum(before[q] for q in parts[:k]))))
+    return kept.withColumn(name, F.col("id") - F.shiftleft("__part", 33) + starts[F.col("__part")]).drop("id", "__part")
+
+
+def _one(spark: SparkSession, schema: str, *values) -> DataFrame:
+    return spark.createDataFrame([values], schema)
+
+
 @query(r"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f\v]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1")
 def wordcount(spark, d):
     return workloads.word_count(t(spark, d, "documents"))
@@ -62,10 +80,10 @@ def map_partitions(spark, d):
     return O.map_partitions(t(spark, d, "orders").select("o_orderkey", "o_custkey"), lambda it: (b.assign(tripled=b.o_custkey * 3)[["o_orderkey", "tripled"]] for b in it), "o_orderkey long, tripled long")
 
 
-@query("SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders")
+@query("SELECT o_custkey, CAST(o_custkey % 5 AS INTEGER) AS part FROM orders")
 def map_partitions_with_index(spark, d):
-    got = O.map_partitions_with_index(t(spark, d, "orders").select("o_custkey"), lambda i, it: (b.assign(part=i) for b in it), "o_custkey long, part int")
-    return got.where("part >= 0").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"))
+    dealt = O.partition_by(t(spark, d, "orders").select("o_custkey"), 5, "o_custkey")
+    return O.map_partitions_with_index(dealt, lambda i, it: (b.assign(part=i) for b in it), "o_custkey long, part int")
 
 
 @query("SELECT o_custkey, o_totalprice + 1 AS price FROM orders")
@@ -175,17 +193,34 @@ def tree_reduce(spark, d):
 
 @query("SELECT count(*) AS n FROM lineitem")
 def count(spark, d):
-    return t(spark, d, "lineitem").agg(F.count("*").alias("n"))
+    return _one(spark, "n long", O.count(t(spark, d, "lineitem")))
 
 
 @query("SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
 def min_max(spark, d):
-    return t(spark, d, "orders").agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    o = t(spark, d, "orders")
+    return _one(spark, "low double, high double", O.min_of(o, "o_totalprice")["o_totalprice"], O.max_of(o, "o_totalprice")["o_totalprice"])
 
 
-@query("SELECT count(*) = 0 AS is_empty FROM orders WHERE o_totalprice < 0")
+@query("SELECT (SELECT count(*) FROM orders WHERE o_totalprice < 0) = 0 AS none, (SELECT count(*) FROM orders) = 0 AS some")
 def is_empty(spark, d):
-    return t(spark, d, "orders").where("o_totalprice < 0").agg((F.count("*") == 0).alias("is_empty"))
+    o = t(spark, d, "orders")
+    return _one(spark, "none boolean, some boolean", O.is_empty(O.filter_rows(o, F.col("o_totalprice") < 0)), O.is_empty(o))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1")
+def first(spark, d):
+    got = O.first(O.sort_by_key(t(spark, d, "orders"), "o_totalprice", "o_orderkey", ascending=False))
+    return _one(spark, "o_orderkey long, o_totalprice double", got["o_orderkey"], got["o_totalprice"])
+
+
+@query("SELECT CAST(sum(l_linenumber) AS BIGINT) AS total, count(*) AS n FROM lineitem")
+def for_each(spark, d):
+    total, n = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    lines = t(spark, d, "lineitem").select("l_linenumber")
+    O.for_each(lines, lambda r: total.add(r[0]))
+    O.for_each_partition(lines, lambda rows: n.add(sum(1 for _ in rows)))
+    return _one(spark, "total long, n long", total.value, n.value)
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -236,7 +271,12 @@ def lookup(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos FROM orders")
 def sort_by_key(spark, d):
-    return O.zip_with_index(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", name="pos")
+    return _in_order(O.sort_by_key(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey"))
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) - 1 AS pos FROM orders")
+def sort_by_key_descending(spark, d):
+    return _in_order(O.sort_by_key(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", ascending=False, partitions=5))
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10")
@@ -244,33 +284,56 @@ def take_first(spark, d):
     return O.take(t(spark, d, "orders").select("o_orderkey"), 10, "o_orderkey")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, row_number() OVER (ORDER BY o_orderstatus, o_totalprice, o_orderkey) - 1 AS index FROM orders")
 def zip_with_index(spark, d):
-    return O.zip_with_index(t(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return O.zip_with_index(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "o_orderstatus", "o_totalprice", "o_orderkey")
 
 
-@query("""SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) USING (i)""")
+@query("""SELECT c_custkey, c_name, c_acctbal, s_suppkey, s_name FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer)
+JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) USING (i)""")
 def zip_frames(spark, d):
-    return O.zip_frames(t(spark, d, "customer").select("c_custkey"), t(spark, d, "supplier").select("s_suppkey"), ["c_custkey"], ["s_suppkey"])
+    return O.zip_frames(t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), t(spark, d, "supplier").select("s_suppkey", "s_name"), ["c_acctbal", "c_custkey"], ["s_suppkey"])
 
 
-@query("SELECT count(*) AS n, CAST(sum(3 * n_nationkey) AS BIGINT) AS total FROM nation")
+@query("SELECT CAST(o_custkey AS BIGINT) AS v, CAST(3 * o_custkey AS BIGINT) AS w FROM orders")
 def zip_partitions(spark, d):
-    one = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("v")).coalesce(1)
-    got = O.zip_partitions([one, one.select((F.col("v") * 2).alias("v"))], lambda fs: (fs[0] + fs[1])[["v"]], "v long")
-    return got.agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    dealt = O.partition_by(t(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("v")), 5, "v")
+    twice = dealt.select((F.col("v") * 2).alias("v"))
+    return O.zip_partitions([dealt, twice], lambda fs: fs[0].assign(w=fs[0]["v"] + fs[1]["v"]), "v long, w long")
 
 
-@query("SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders")
+@query("SELECT k AS part, count(o_custkey) AS n, CAST(coalesce(sum(o_custkey), 0) AS BIGINT) AS total FROM range(0, 5) r(k) LEFT JOIN orders ON o_custkey % 5 = k AND o_custkey % 5 <> 3 GROUP BY k")
 def glom(spark, d):
-    g = O.glom(t(spark, d, "orders"), "o_custkey")
-    return g.agg(F.sum(F.size("rows")).alias("n"), F.sum(F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
+    dealt = O.partition_by(t(spark, d, "orders").where(F.col("o_custkey") % 5 != 3).select("o_custkey"), 5, "o_custkey")
+    g = _in_order(O.glom(dealt, "o_custkey"), "part")
+    return g.select("part", F.size("rows").cast("long").alias("n"), F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey % 5 AS INTEGER) AS part FROM orders")
+def partition_by(spark, d):
+    return O.partition_by(t(spark, d, "orders").select("o_orderkey", "o_custkey"), 5, "o_custkey").select("o_orderkey", F.spark_partition_id().alias("part"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders")
+@query("SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total, count(DISTINCT o_custkey) AS places FROM orders")
 def repartition(spark, d):
-    o = O.repartition(t(spark, d, "orders").select("o_custkey"), 7, "o_custkey")
-    return O.coalesce(O.repartition_by_range(O.partition_by(o, 5, "o_custkey"), 4, "o_custkey"), 2).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"))
+    """places: pairs of a key and a partition that holds it; by hash a key has one."""
+    placed = O.repartition(t(spark, d, "orders").select("o_custkey"), 7, "o_custkey").withColumn("part", F.spark_partition_id())
+    return placed.agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"), F.count_distinct("o_custkey", "part").alias("places"))
+
+
+@query("SELECT CAST(4 AS BIGINT) AS parts, CAST(0 AS BIGINT) AS overlaps, (SELECT count(*) FROM orders) AS n")
+def range_partition(spark, d):
+    """overlaps: partitions whose least key isn't over the largest one before them."""
+    placed = O.repartition_by_range(t(spark, d, "orders").select("o_orderkey"), 4, "o_orderkey").withColumn("part", F.spark_partition_id())
+    each = placed.groupBy("part").agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"), F.count("*").alias("n"))
+    each = each.withColumn("before", F.max("high").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # a row a partition
+    return each.agg(F.count("*").alias("parts"), F.count_if(F.col("low") <= F.col("before")).alias("overlaps"), F.sum("n").alias("n"))
+
+
+@query("SELECT CAST(2 AS BIGINT) AS parts, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders")
+def coalesce(spark, d):
+    placed = O.coalesce(O.repartition(t(spark, d, "orders").select("o_custkey"), 7), 2).withColumn("part", F.spark_partition_id())
+    return placed.agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"), F.sum("o_custkey").alias("total"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, CAST(0 AS BIGINT) AS in_zero_weight FROM orders")
@@ -319,9 +382,7 @@ def pipeline_normalize(spark, d):
 
 @query("SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem")
 def metrics_observe(spark, d):
-    from ..operators.actions import observed
-
-    df, seen = observed(t(spark, d, "lineitem"), n=F.count("*"), total=F.sum("l_linenumber"))
+    df, seen = O.observed(t(spark, d, "lineitem"), n=F.count("*"), total=F.sum("l_linenumber"))
     df.write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([(seen.get["n"], seen.get["total"])], "n long, total long")
 
@@ -336,11 +397,11 @@ def text_functions(spark, d):
     return t(spark, d, "documents").select("doc_id", byte_length("text").alias("bytes"), F.size(fields("text")).cast("long").alias("words"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS intercept, CAST(2 AS BIGINT) AS w0, CAST(-3 AS BIGINT) AS w1")
+@query("SELECT CAST(1000000 AS BIGINT) AS intercept, CAST(2000000 AS BIGINT) AS w0, CAST(-3000000 AS BIGINT) AS w1")
 def linear_regression(spark, d):
     x, z = F.col("p_size").cast("double"), (F.col("p_partkey") % 7).cast("double")
     m = ml.train_linear(t(spark, d, "part").select((1 + 2 * x - 3 * z).alias("label"), F.array(x, z).alias("features")))
-    return spark.createDataFrame([(round(m.intercept), round(m.weights[0]), round(m.weights[1]))], "intercept long, w0 long, w1 long")
+    return _one(spark, "intercept long, w0 long, w1 long", *(round(x * 1e6) for x in (m.intercept, *m.weights)))  # in millionths
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS INTEGER) AS class FROM part")
@@ -378,8 +439,9 @@ r(i, node, rank) AS (SELECT 0, node, 1.0::DOUBLE FROM n UNION ALL
 SELECT node, CAST(round(rank * 1000000) AS BIGINT) AS millionths FROM r WHERE i = 10""")
 def pagerank(spark, d):
     o, c, li, s = (t(spark, d, x) for x in ("orders", "customer", "lineitem", "supplier"))
-    edges = o.join(c, o.o_custkey == c.c_custkey).join(li, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
-    ranks = workloads.page_rank(edges.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")))
+    source = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.col("c_nationkey").alias("src"))
+    target = li.select("l_orderkey", "l_suppkey").join(s, li.l_suppkey == s.s_suppkey).select("l_orderkey", F.col("s_nationkey").alias("dst"))
+    ranks = workloads.page_rank(source.join(target, source.o_orderkey == target.l_orderkey).select("src", "dst"))
     return ranks.select("node", F.round(F.col("rank") * 1000000).cast("bigint").alias("millionths"))
 
 

@@ -10,7 +10,8 @@ from ..functions import byte_length, fields, strip_marks
 
 
 def word_count(lines: DataFrame, text: str = "text") -> DataFrame:
-    return O.count_by_key(O.flat_map(lines, fields(text), "word"), "word")
+    words = O.filter_rows(O.flat_map(lines, F.split(text, r"\s+"), "word"), F.col("word") != "")  # both within generated code
+    return O.count_by_key(words, "word")
 
 
 def text_statistics(lines: DataFrame, text: str = "text", long_bytes: int = 8) -> DataFrame:
@@ -46,22 +47,33 @@ def histogram(df: DataFrame, column: str, width: int) -> DataFrame:
 def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, rank) over edges (src, dst); ranks begin at 1, a node without incoming edges keeps 1 - damping.
 
-    A round is one join and one aggregate; the lineage is cut every fifth round where a checkpoint folder is set.
+    A round is one join and one aggregate.  Links and, every fifth round, ranks are cut at the checkpoint folder
+    (spark.checkpoint.dir, where the context has none), so that the plan stays small and lost executors cost little.
     """
     links = edges.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count("*").alias("n"))
-    links = links.join(out, "src").persist()
-    ranks = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().withColumn("rank", F.lit(1.0))
+    links = _cut(links.join(out, "src"))
+    ranks = _cut(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().withColumn("rank", F.lit(1.0)))
     nodes = ranks.select("node")
-    can_cut = not edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
     for i in range(rounds):
         given = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
         ranks = nodes.join(given, nodes["node"] == given["dst"], "left").select("node", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if can_cut and i % 5 == 4:
-            ranks = ranks.checkpoint()
+        if i % 5 == 4 and i < rounds - 1:
+            ranks = _cut(ranks)
     return ranks
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows without their lineage, where there is a checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def monte_carlo_pi(spark, points: int, seed: int = 1) -> DataFrame:
     """One row: an estimate of pi from pseudo-random points."""
     xy = spark.range(points).select(F.rand(seed).alias("x"), F.rand(seed + 1).alias("y"))

@@ -12,6 +12,12 @@ def test_linear(spark):
         m.predict([1.0])
 
 
+def test_linear_with_correlated_features(spark):
+    rows = [(4.0 + 3 * x - 2 * (0.25 * x + i % 3), [float(x), 0.25 * x + i % 3]) for i, x in enumerate(range(12))]
+    m = ml.train_linear(spark.createDataFrame(rows, "label double, features array<double>"))
+    assert abs(m.intercept - 4) < 1e-6 and abs(m.weights[0] - 3) < 1e-6 and abs(m.weights[1] + 2) < 1e-6
+
+
 @pytest.mark.parametrize("rows", [[], [(1.0, [1.0]), (2.0, [1.0, 2.0])], [(1.0, [5.0]), (2.0, [5.0])]])
 def test_bad_input(spark, rows):
     with pytest.raises(ValueError):

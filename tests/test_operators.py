@@ -48,6 +48,21 @@ def test_cogroup_and_lookup(spark):
     a, b = frame(spark, [(1, 2), (1, 3)], "k long, v long"), frame(spark, [(1, 4), (2, 5)], "k long, w long")
     assert got(O.cogroup(a, b, "k", "v", "w")) == [(1, [2, 3], [4]), (2, [], [5])]
     assert got(O.lookup(a, "k", 9, "v")) == []
+    assert O.cogroup(a, b, "k", "v", "w", max_group=2).count() == 2
+    with pytest.raises(Exception, match="over the limit"):
+        O.cogroup(a, b, "k", "v", "w", max_group=1).collect()
+    hot = spark.range(2000).select(F.lit("hot").alias("k"), F.lit(1).alias("v"))
+    assert O.group_by_key(hot, "k", "v", max_group=2000).select(F.size("values")).first()[0] == 2000
+    with pytest.raises(Exception, match="over the limit"):
+        O.group_by_key(hot, "k", "v", max_group=1999).collect()
+
+
+def test_extremes(spark):
+    v = frame(spark, [(5,), (3,), (8,), (None,), (1,), (9,), (2,)], "v long")
+    assert (O.min_of(v, "v")["v"], O.max_of(v, "v")["v"], O.count(v), O.first(v, "v")["v"]) == (1, 9, 7, None)
+    assert [r.v for r in O.take(v.where("v > 2"), 2, "v").collect()] == [3, 5] and O.take(v, 0).count() == 0
+    with pytest.raises(ValueError):
+        O.take(v, -1)
 
 
 def test_empty_inputs(spark):
@@ -68,6 +83,75 @@ def test_positions(spark):
         O.zip_partitions([v, v.repartition(2)], lambda fs: fs[0], "v string")
 
 
+def test_positions_of_many_rows_with_a_payload(spark, tmp_path):
+    n = 1_000_000
+    rows = spark.range(n, numPartitions=6).select((F.col("id") * 7919 % 1_000_003).alias("k"), F.col("id"), F.concat(F.lit("payload "), "id").alias("payload"), F.lit(None).cast("map<string,int>").alias("m"))
+    O.zip_with_index(rows, "k", partitions=9).write.parquet(str(tmp_path / "one"))
+    got = spark.read.parquet(str(tmp_path / "one"))
+    s = got.agg(F.count("*"), F.count_distinct("index"), F.min("index"), F.max("index")).first()
+    assert tuple(s) == (n, n, 0, n - 1)
+    from pyspark.sql import Window
+
+    wrong = got.withColumn("before", F.lag("k").over(Window.orderBy("index"))).where("before >= k or payload <> concat('payload ', id)")
+    assert wrong.count() == 0
+    a, b = rows.where("id < 300000"), rows.where("id < 250000").select(F.col("k").alias("k2"), F.col("payload").alias("payload2"))
+    O.zip_frames(a.withColumn("k", F.col("id")), b.withColumn("k2", F.substring("payload2", 9, 9).cast("long")), ["k"], ["k2"]).write.parquet(str(tmp_path / "two"))
+    both = spark.read.parquet(str(tmp_path / "two"))
+    assert both.count() == 250_000 and both.where("payload <> payload2").count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7])
+def test_positions_with_ties_and_nulls(spark, partitions):
+    rows = [(i % 3 if i % 4 else None, float("nan") if i % 5 == 0 else i / 7, f"x{i % 11}") for i in range(200)]
+    v = frame(spark, rows, "k long, d double, s string").repartition(5)
+    got = O.zip_with_index(v, "k", "d", partitions=partitions).collect()
+    assert sorted(r["index"] for r in got) == list(range(200))
+    place = lambda r: ((r.k is not None, r.k or 0), (r.d != r.d, 0 if r.d != r.d else r.d))
+    in_order = [place(r) for r in sorted(got, key=lambda r: r["index"])]
+    assert in_order == sorted(in_order)
+    same = frame(spark, [(1,)] * 50, "k long").repartition(4)
+    assert sorted(r["index"] for r in O.zip_with_index(same, "k", partitions=partitions).collect()) == list(range(50))
+
+
+def test_partitions_side_by_side(spark):
+    def dealt(rows):
+        return O.partition_by(frame(spark, rows, "v long, p int"), 3, "p")
+
+    a, b, c = (dealt([(k * (i + 1), i // 2) for i in range(4)]) for k in (1, 10, 100))
+    got = O.zip_partitions([a, b, c], lambda fs: fs[0].assign(v=fs[0]["v"] + fs[1]["v"] + fs[2]["v"])[["v"]], "v long")
+    assert sorted(r[0] for r in got.collect()) == [111, 222, 333, 444]
+
+
+def test_glom_and_each_partition_see_empty_ones(spark):
+    v = O.partition_by(frame(spark, [(0,), (0,), (2,)], "v int"), 4, "v")
+    assert [r[0] for r in O.glom(v, "v").collect()] == [[0, 0], [], [2], []]
+    seen, rows = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def each(part):
+        seen.add(1)
+        rows.add(sum(1 for _ in part))
+
+    O.for_each_partition(v, each)
+    assert (seen.value, rows.value) == (4, 3)
+    total = spark.sparkContext.accumulator(0)
+    O.for_each(v, lambda r: total.add(r[0]))
+    assert total.value == 2
+
+
+def test_jobs_can_be_cancelled(spark):
+    import time
+
+    slow = spark.range(4, numPartitions=4).mapInPandas(lambda it: (time.sleep(60) or b for b in it), "id long")
+    began = time.time()
+    with pytest.raises(Exception), O.cancellable(spark, "slow", seconds=2):
+        slow.count()
+    assert time.time() - began < 40
+    O.cancel(spark, "slow")
+    assert spark.range(3).count() == 3 and O.task_info() == {}
+    got = spark.range(2, numPartitions=2).mapInPandas(lambda it: (b.assign(part=O.task_info()["partition"]) for b in it), "id long, part int")
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (1, 1)]
+
+
 def test_split_and_sample(spark):
     v = spark.range(300).repartition(7)
     parts = O.random_split(v, [1, 2, 0, 3], 42)
@@ -82,7 +166,11 @@ def test_pipe(spark):
     assert got(O.pipe(v, "cat")) == [("a",), ("b",), ("c",), ("d",)]
     assert [r[0].strip() for r in O.pipe(v, "wc -l").collect()] == ["4"]
     with pytest.raises(Exception, match="exit 7"):
-        O.pipe(v, "exit 7").collect()
+        O.pipe(v, "echo why >&2; exit 7").collect()
+    odd = frame(spark, [(None,), ("",), ("é",), ("x" * 100_000,)], "value string").coalesce(1)
+    assert [r[0] for r in O.pipe(odd, "cat").collect()] == ["", "", "é", "x" * 100_000]
+    assert [r[0] for r in O.pipe(spark.range(200_000, numPartitions=1).select(F.col("id").cast("string").alias("value")), "head -n 2").collect()] == ["0", "1"]
+    assert O.pipe(odd.limit(0), "cat").collect() == []
 
 
 def test_sort(spark):

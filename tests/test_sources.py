@@ -29,6 +29,12 @@ def test_manifest(spark, tmp_path):
     S.manifest.publish(spark, path, manifest)
     with pytest.raises(S.AlreadyCommitted):
         S.manifest.publish(spark, path, manifest | {"job": "other"})
+    with pytest.raises(S.AlreadyCommitted):
+        S.commit(df.limit(1), path)
+    (tmp_path / "out" / "_attempts" / "lost").mkdir()
+    (tmp_path / "out" / "_attempts" / "lost" / "part").write_text("z\n")
+    assert S.clean_attempts(spark, path) == ["lost"] and S.clean_attempts(spark, path) == []
+    assert sorted(r[0] for r in S.read_committed(spark, path, check=True).collect()) == ["a", "b"]
     part = next(f for f in manifest["partitions"] if f["bytes"])
     (tmp_path / "out" / part["key"]).write_text("changed")
     (tmp_path / "out" / part["key"]).with_name("." + part["key"].rsplit("/", 1)[1] + ".crc").unlink(missing_ok=True)
@@ -38,11 +44,59 @@ def test_manifest(spark, tmp_path):
         S.read_manifest(spark, str(tmp_path / "none"))
 
 
+def test_a_failed_attempt_leaves_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = tmp_path / "out"
+    with pytest.raises(Exception, match="broken"):
+        S.commit(spark.range(10).select(F.when(F.col("id") == 7, F.raise_error(F.lit("broken"))).otherwise("x").alias("value")), str(path))
+    assert not list((path / "_attempts").glob("*")) and not (path / "_MANIFEST.json").exists()
+    S.commit(spark.createDataFrame([("", )] * 3, "value string"), str(path))
+    assert S.read_committed(spark, str(path), check=True).count() == 3
+    none = str(tmp_path / "none")
+    S.commit(spark.createDataFrame([], "value string"), none)
+    assert S.read_committed(spark, none, check=True).count() == 0
+
+
+def test_changed_lines_are_told(spark, tmp_path):
+    path = str(tmp_path / "out")
+    manifest = S.commit(spark.createDataFrame([("ab",), ("cd",)], "value string").coalesce(1), path)
+    file = tmp_path / "out" / manifest["partitions"][0]["key"]
+    for text, fine in (("cd\nab\n", True), ("ab\nab\n", False), ("ab\ncX\n", False)):
+        file.write_text(text)
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+        if fine:
+            S.verify(spark, path)
+        else:
+            with pytest.raises(ValueError):
+                S.verify(spark, path)
+
+
+def test_text_in_many_splits(spark, tmp_path):
+    texts = {"aligned": "aaa\nbbb\nccc\n", "open": "\n".join(f"line-{i:02}" for i in range(50)), "long": "x" * 200 + "\ny\r\n", "empty": "", "ends": "\n\n\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = sorted(x.removesuffix("\r") for t in texts.values() for x in (t.split("\n")[:-1] if t.endswith("\n") else t.split("\n")) if t)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (3, 4, 7, 50, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            lines = S.text_file(spark, str(tmp_path))
+            assert sorted(r[0] for r in lines.collect()) == want
+            assert lines.rdd.getNumPartitions() > 60 or size > 7
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_checkpoint(spark, tmp_path):
     path = str(tmp_path / "c")
     S.write_checkpoint(spark.range(4), path)
     assert S.read_checkpoint(spark, path).count() == 4
-    for f in (tmp_path / "c" / "data").glob("*.parquet"):
+    again = S.write_checkpoint(spark.range(9), path)  # there is one already
+    assert again.count() == 4 and len(list((tmp_path / "c").glob("data-*"))) == 1
+    for f in (tmp_path / "c").glob("data-*/*.parquet"):
         f.unlink()
         break
     with pytest.raises(FileNotFoundError):
@@ -72,6 +126,60 @@ def test_pipelines(spark, tmp_path):
         pipelines.run(spark, "absent")
 
 
+def test_jobs_and_plans(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pipelines.register("test-numbers", lambda spark, params: spark.range(int(params.get("n", "5"))).where("id <> 2"))
+    pipelines.register_reduction("test-sum", F.sum("id"), zero=0)
+    spec = pipelines.JobSpec("test-numbers", "test-sum", {"n": "5"}, 3)
+    planned = pipelines.plan_job(spark, spec)
+    pipelines.verify_plan(spark, planned, spec)
+    for other in (pipelines.JobSpec("test-numbers", "count", {"n": "5"}, 3), pipelines.JobSpec("test-numbers", "test-sum", {"n": "6"}, 3), pipelines.JobSpec("test-numbers", "test-sum", {"n": "5"}, 4)):
+        with pytest.raises(ValueError, match="fingerprint"):
+            pipelines.verify_plan(spark, planned, other)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert pipelines.run_job(spark, spec) == 8 and spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert pipelines.run(spark, "test-numbers", "test-sum", n="0") == 0
+    with pytest.raises(ValueError):
+        pipelines.run(spark, "test-numbers", "absent")
+    with pytest.raises(ValueError):
+        pipelines.run(spark, "test-numbers", "save")
+    with pytest.raises(ValueError):
+        pipelines.register_reduction("test-sum", F.sum("id"))
+    a = spark.range(3).where("id > 1")
+    assert pipelines.fingerprint(a) == pipelines.fingerprint(spark.range(3).where("id > 1")) != pipelines.fingerprint(spark.range(3).where("id > 0"))
+    assert pipelines.same_plan(a, spark.range(3).where("id > 1"))
+
+
+def test_object_store_layers():
+    from sparkloom.session import ObjectStore
+
+    env = ObjectStore.of_environment({"AWS_DEFAULT_REGION": "r1", "AWS_ACCESS_KEY_ID": "k", "AWS_SECRET_ACCESS_KEY": "s", "AWS_S3_PATH_STYLE": "true"})
+    both = ObjectStore(endpoint="http://store:9000", session_token="t").over(ObjectStore(region="r2", endpoint="http://other").over(env))
+    assert both == ObjectStore("r2", "http://store:9000", "k", "s", "t", True)
+    got = both.settings()
+    assert got["spark.hadoop.fs.s3a.endpoint"] == "http://store:9000" and got["spark.hadoop.fs.s3a.path.style.access"] == "true"
+    assert got["spark.hadoop.fs.s3a.aws.credentials.provider"].endswith("TemporaryAWSCredentialsProvider")
+    assert ObjectStore().settings() == {} == ObjectStore.of_environment({}).settings()
+
+
+def test_command_line(monkeypatch, capsys, spark, tmp_path):
+    from sparkloom import __main__ as cli
+
+    class Kept:  # the tests' session, which must not stop
+        def __getattr__(self, name):
+            return (lambda: None) if name == "stop" else getattr(spark, name)
+
+    monkeypatch.setattr(cli, "session", lambda app: Kept())
+    assert cli.main(["list"]) == 0 and "numbers" in capsys.readouterr().out
+    assert cli.main(["count", "numbers"]) == 0 and capsys.readouterr().out.strip() == "5"
+    assert cli.main(["run", "sort", "order=down"]) == 0 and capsys.readouterr().out.startswith("Row(k=127")
+    path = str(tmp_path / "out")
+    assert cli.main(["save", "wordcount-lines", f"path={path}"]) == 0 and cli.main(["verify", path]) == 0
+    assert "verified" in capsys.readouterr().out
+    assert cli.main(["nothing"]) == 2 and cli.main([]) == 2
+
+
 def test_shared_and_kept(spark):
     b = shared.Broadcasts(spark, limit=1000)
     b.add("m", {"a": 3})
