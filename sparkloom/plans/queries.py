@@ -448,3 +448,9 @@ def pagerank(spark, d):
 @query("SELECT true AS near")
 def pi(spark, d):
     return workloads.monte_carlo_pi(spark, 200_000).select(F.col("pi").between(3.1, 3.18).alias("near"))
+
+
+@query("SELECT CAST(40960 AS BIGINT) AS n, true AS ordered, CAST(30721 AS BIGINT) AS keys, CAST(40960 AS BIGINT) AS total, CAST(10240 AS BIGINT) AS hot")
+def sort_and_reduce(spark, d):
+    """320 MiB that the query makes itself."""
+    return workloads.sort_and_reduce(spark)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import operators as O
@@ -74,6 +75,34 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sort_and_reduce(spark, records: int = 40_960, payload: int = 8192) -> DataFrame:
+    """One row on a sort and a skewed reduction of records with large payloads, which spill where memory is short.
+
+    The records come in descending order and are sorted; then a quarter of them share one key and the others have their own.
+    n, ordered: records after the sort, and whether they rise over all partitions with whole payloads; keys, total, hot:
+    keys after the reduction, their counts' sum and the largest one.
+    """
+    text = "x" * payload
+
+    def look(batches):
+        n, low, high, rises = 0, None, None, True
+        for b in batches:
+            if len(b):
+                rises = rises and b["k"].is_monotonic_increasing and (high is None or b["k"].iloc[0] > high) and bool((b["payload"] == text).all())
+                low, high, n = b["k"].iloc[0] if low is None else low, b["k"].iloc[-1], n + len(b)
+        if n:
+            yield pd.DataFrame([(n, low, high, rises)], columns=["n", "low", "high", "rises"])
+
+    body = F.repeat(F.lit("x"), F.lit(payload)).alias("payload")
+    rows = spark.range(records).select((F.lit(records - 1) - F.col("id")).alias("k"), body)
+    parts = O.map_partitions(O.sort_by_key(rows, "k"), look, "n long, low long, high long, rises boolean")
+    parts = parts.withColumn("before", F.max("high").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)))  # a row a partition
+    done = parts.agg(F.sum("n").alias("n"), F.bool_and(F.col("rises") & (F.coalesce("before", F.lit(-1)) < F.col("low"))).alias("ordered"))
+    skewed = spark.range(records).select(F.when(F.col("id") >= records * 3 // 4, -1).otherwise(F.col("id")).alias("k"), body)
+    reduced = O.reduce_by_key(skewed, "k", n=F.count("*"), payload=F.max("payload")).where(F.length("payload") == payload)
+    return done.crossJoin(reduced.agg(F.count("*").alias("keys"), F.sum("n").alias("total"), F.max("n").alias("hot")))  # a row each
+
+
 def monte_carlo_pi(spark, points: int, seed: int = 1) -> DataFrame:
     """One row: an estimate of pi from pseudo-random points."""
     xy = spark.range(points).select(F.rand(seed).alias("x"), F.rand(seed + 1).alias("y"))
