@@ -80,3 +80,11 @@ def test_best_fit_decreasing():
             free[k] -= sizes[i]
             want[k] += sizes[i]
         assert sorted(int(sizes[r].sum()) for r in rows) == sorted(int(x) for x in want)
+
+
+def test_written_rows_are_read_again(edge_docs, ranks, tmp_path):
+    packs = P.pack(edge_docs, ranks=ranks, length=64)
+    P.write(packs, str(tmp_path / "packs"))
+    back = edge_docs.sparkSession.read.parquet(str(tmp_path / "packs"))
+    assert back.columns == packs.columns and sorted(map(repr, back.collect())) == sorted(map(repr, packs.collect()))
+    assert all(len(r.ids) == 128 and r.cu_seqlens[-1] == r.n_tokens <= 64 for r in back.collect())

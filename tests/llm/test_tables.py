@@ -304,6 +304,28 @@ def test_pipeline(spark, data, tmp_path):
     assert C.run(spark, data).count() == docs.count()
 
 
+@pytest.mark.parametrize("kind", ["odd", "empty", "unlabelled"])
+def test_pipeline_on_odd_tables(spark, data, edge_docs, no_docs, tmp_path, kind):
+    """Nulls, repeated rows, clashing columns, empty texts and empty tables in every stage."""
+    import corpus_pipeline as C
+
+    docs = {"odd": edge_docs, "empty": no_docs, "unlabelled": edge_docs}[kind].withColumnRenamed("score", "mix_slot").withColumn("n_hit", F.lit("own")).withColumn("key", F.lit(1))
+    folder = str(tmp_path / "in")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("labels", "benchmark"))
+    (labels.limit(0) if kind == "unlabelled" else labels).write.parquet(f"{folder}/labels.parquet")
+    (bench.limit(0) if kind == "unlabelled" else bench).write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (_, stage) in enumerate(C.STAGES):
+        stage(spark, docs, folder).write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        if k < len(C.STAGES) - 1:
+            assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
+            assert out.where("mix_slot is not null").count() == 0 or {r.mix_slot for r in out.collect()} <= {"x", None}
+        docs = out
+    assert C.run(spark, folder).count() == docs.count() and (kind == "empty") == (docs.count() == 0)
+
+
 def test_nothing_else_imports_the_subpackage():
     code = "import sys, sparkloom.plans.queries; sys.exit(any(n.startswith('sparkloom.llm') for n in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2]).returncode == 0
