@@ -12,9 +12,13 @@ from .workloads import word_count
 LINES = ("hello world", "hello spark", "world spark hello")
 
 
-@register("numbers")
+NUMBERS = "numbers"
+
+
+@register(NUMBERS)
 def numbers(spark, params):
-    return S.make_range(spark, 1, 11).where(F.col("id") % 2 == 0)
+    """Even numbers up to ten, those over params["above"] only."""
+    return O.filter_rows(S.make_range(spark, 1, 11), (F.col("id") % 2 == 0) & (F.col("id") > int(params.get("above", "0"))))
 
 
 @register("join")

@@ -73,10 +73,14 @@ def register_action(name: str, action: Action | None = None):
 
 def get_action(name: str) -> Action:
     if name not in _ACTIONS:
-        raise ValueError(f"no action {name}; there are {', '.join(sorted(_ACTIONS))}")
+        raise ValueError(f"no action {name}; there are {', '.join(actions())}")
     return _ACTIONS[name]
 
 
+def actions() -> list[str]:
+    return sorted(_ACTIONS)
+
+
 def register_reduction(name: str, agg: Column, *, zero: object = None) -> None:
     """Adds an action that gives an aggregate of all rows, with partial sums on the executors; ``zero`` over no rows."""
 

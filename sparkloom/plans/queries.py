@@ -14,6 +14,8 @@ from .. import operators as O
 from .. import sources as S
 from ..functions import byte_length, fields
 from . import pipelines, workloads
+from .kept import Kept
+from .shared import Broadcasts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -454,3 +456,94 @@ def pi(spark, d):
 def sort_and_reduce(spark, d):
     """320 MiB that the query makes itself."""
     return workloads.sort_and_reduce(spark)
+
+
+@query("SELECT CAST(i AS BIGINT) AS v, CAST(i * i AS BIGINT) AS square FROM range(1, 501) r(i)")
+def parallelize(spark, d):
+    return O.map_rows(S.from_rows(spark, [(i,) for i in range(1, 501)], "v long", 4), v=F.col("v"), square=F.col("v") * F.col("v"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE false")
+def empty(spark, d):
+    return O.union(S.empty(spark, "o_orderkey long, o_orderstatus string"), t(spark, d, "orders").select("o_orderkey", "o_orderstatus").limit(0))
+
+
+@query("SELECT CAST(p AS INTEGER) AS part, CAST(p * 100 + i AS BIGINT) AS v FROM range(0, 5) a(p), range(0, 20) b(i) WHERE i < 4 * p")
+def function_source(spark, d):
+    return S.function_source(spark, "sparkloom-steps", "part int, v long", 5, lambda p: ((p, 100 * p + i) for i in range(4 * p)))
+
+
+@query("SELECT concat('{', o_orderkey, ' ', o_custkey % 4, '}') AS value FROM orders WHERE o_custkey % 4 <> 2")
+def save_partitions(spark, d):
+    """Each partition but one is saved by itself."""
+    dealt = O.partition_by(t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("part")), 4, "part")
+    lines, path = dealt.select(S.text.line("o_orderkey", "part").alias("value")), _folder(spark)
+    for part in (0, 1, 3):
+        S.save_partition(lines, part, f"{path}/{part}")
+    return S.text_file(spark, path)
+
+
+@query("SELECT CAST(5 AS BIGINT) AS numbers, CAST(30 AS BIGINT) AS total, CAST(0 AS BIGINT) AS none, true AS same, false AS other")
+def run_jobs(spark, d):
+    """Registered pipelines with registered actions, and plans that are verified before they run."""
+    from . import bundled
+
+    J = pipelines.JobSpec
+    if "total-of-ids" not in pipelines.actions():
+        pipelines.register_reduction("total-of-ids", F.sum("id"), zero=0)
+    spec = J(bundled.NUMBERS, "total-of-ids")
+    planned = pipelines.plan_job(spark, spec)
+    pipelines.verify_plan(spark, planned, spec)
+    again, other = (pipelines.plan_job(spark, s).fingerprint == planned.fingerprint for s in (spec, J(bundled.NUMBERS, "total-of-ids", partitions=3)))
+    got = pipelines.run_job(spark, J(bundled.NUMBERS, "count")), pipelines.run_job(spark, spec), pipelines.run_job(spark, J(bundled.NUMBERS, "total-of-ids", {"above": "99"}))
+    return _one(spark, "numbers long, total long, none long, same boolean, other boolean", *got, again, other)
+
+
+@query("SELECT concat('{', w, ' ', count(*), '}') AS value FROM (SELECT unnest(['hello', 'world', 'hello', 'spark', 'world', 'spark', 'hello']) AS w) GROUP BY w")
+def run_and_save(spark, d):
+    from . import bundled  # noqa: F401  registers its pipelines
+
+    path = _folder(spark)
+    pipelines.run(spark, "wordcount-lines", "save", path=path)
+    return S.read_committed(spark, path, check=True)
+
+
+@query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#12' THEN 2 ELSE 0 END AS number FROM part")
+def broadcast_values(spark, d):
+    shared = Broadcasts(spark)
+    shared.add("brands", {"Brand#11": 1, "Brand#12": 2})
+    brands = shared.values["brands"]
+    rows = t(spark, d, "part").select("p_partkey", "p_brand")
+    return O.map_partitions(rows, lambda it: (b.assign(number=b["p_brand"].map(brands.value).fillna(0).astype("int32"))[["p_partkey", "number"]] for b in it), "p_partkey long, number int")
+
+
+@query("SELECT count(*) AS n, count(*) AS again, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders")
+def keep_frames(spark, d):
+    kept = Kept()
+    for level in ("disk", "memory"):
+        o = kept.persist("orders", t(spark, d, "orders").select("o_custkey"), level)
+        n, again = o.count(), kept.persist("orders", t(spark, d, "orders").select("o_custkey"), level).count()
+    total = o.agg(F.sum("o_custkey")).first()[0]
+    kept.stop()
+    return _one(spark, "n long, again long, total long", n, again, total)
+
+
+@query("SELECT CAST(p_size AS DOUBLE) AS label, [CAST(p_partkey AS DOUBLE), CAST(p_partkey % 7 AS DOUBLE)] AS features FROM part")
+def parse_labeled(spark, d):
+    lines = t(spark, d, "part").select(F.concat_ws(" ", "p_size", "p_partkey", F.col("p_partkey") % 7).alias("value"))
+    return ml.parse_labeled(O.union(lines, S.from_rows(spark, [("",), ("  ",)], "value string")))
+
+
+@query("SELECT p_partkey, CAST(round((1 + 2 * p_size - 3 * (p_partkey % 7)) * 1000) AS BIGINT) AS thousandths FROM part")
+def predict(spark, d):
+    rows = t(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 7).cast("double")).alias("features"))
+    m = ml.train_linear(rows.select((1 + 2 * F.col("features")[0] - 3 * F.col("features")[1]).alias("label"), "features"))
+    assert abs(m.predict([4.0, 1.0]) - 6) < 1e-5
+    return rows.select("p_partkey", F.round(m.column() * 1000).cast("bigint").alias("thousandths"))
+
+
+@query("SELECT true AS low, true AS high, CAST(0 AS BIGINT) AS class_low, CAST(1 AS BIGINT) AS class_high")
+def predict_probability(spark, d):
+    rows = t(spark, d, "part").select((F.col("p_size") > 25).cast("double").alias("label"), F.array(F.col("p_size").cast("double")).alias("features"))
+    m = ml.train_logistic(rows, l2=1e-4)
+    return _one(spark, "low boolean, high boolean, class_low long, class_high long", 0 <= m.probability([1.0]) < 0.5, 0.5 < m.probability([50.0]) <= 1, int(m.predict([1.0])), int(m.predict([50.0])))

@@ -61,6 +61,7 @@ def session(app: str = "sparkloom", master: str | None = None, *, store: ObjectS
     The object store's values come from the environment, over them those of set_object_store, over them ``store``.
     """
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with the frames that need them
     if master:
         builder = builder.master(master)
     layers = (store or ObjectStore()).over(_everywhere.over(ObjectStore.of_environment()))
