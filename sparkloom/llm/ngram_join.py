@@ -405,9 +405,13 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", *
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes
     at = dict(zip(docs.columns, names, strict=True))
     own = docs.toDF(*names)
-    own = own.withColumn("key", _row_key(own, at[doc_id], at[text]))
-    kept = join(own, doc_id="key", text=at[text], **options).where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    return own.join(kept, "key", "left_semi").dropDuplicates(["key"]).drop("key").toDF(*docs.columns)
+    own = own.withColumn("key", _row_key(own, at[doc_id], at[text])).withColumn("node", F.xxhash64("key"))
+    found = join(own, doc_id="node", text=at[text], **options).select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")).distinct()
+    rows = own.select("key", "node").join(found, "node")  # numbers of 64 bits stand for the rows in the search
+    first = rows.groupBy("component").agg(F.min("key").alias("key")).select("key")
+    shared = rows.groupBy("node").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("node")
+    kept = cut(first.unionByName(rows.join(shared, "node", "left_semi").select("key")).distinct())  # rows whose numbers clash stay
+    return own.join(kept, "key", "left_semi").dropDuplicates(["key"]).drop("key", "node").toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
