@@ -45,9 +45,8 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written once as Parquet to the shared folder and read from there."""
-    path = folder(df.sparkSession, "table")
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``df``, written once as Parquet and read from there."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

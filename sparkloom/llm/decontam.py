@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .common import arrow_groups, cut, stored, table
+from .common import arrow_groups, cut, folder, remove, stored, table
 
 NOTHING = hashlib.sha256(b"").hexdigest()
 BUCKETS = 32
@@ -61,8 +61,8 @@ def unpack_positions(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, dtype=f"<u{len(data) // n}").astype(np.int64))
 
 
-def index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index of a table: rows of postings, and one row of the directory for each block.
+def index(docs: DataFrame, path: str | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of a table, stored at ``path`` (a new folder below the shared one): rows of postings, and one row of the directory for each block.
 
     Postings: block, bucket, terms (between blanks), and for each of them its occurrences (n), the bytes of a difference
     (widths) and its positions in words of the block, one after the other.  Directory: block, ids (of its rows, in order,
@@ -100,7 +100,7 @@ def index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     kind = source.schema["doc_id"].dataType.simpleString()
     rows = source.mapInArrow(run, f"block long, bucket int, terms binary, n binary, widths binary, positions binary, ids array<{kind}>, firsts binary")
-    return stored(rows.repartition("bucket", "block"))
+    return stored(rows.repartition("bucket", "block"), path or folder(docs.sparkSession, "index"))
 
 
 @dataclass
@@ -338,8 +338,16 @@ def search(stored_index: DataFrame, benchmark: DataFrame, *, item_id: str = "ite
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``search`` over a new index of ``docs``: a row for each of its rows."""
-    return search(index(docs, doc_id=doc_id, text=text), benchmark, **options)
+    """``search`` over a new index of ``docs``: a row for each of its rows.  The rows found are kept, and the index is deleted."""
+    return _indexed(docs, doc_id, text, lambda made: search(made, benchmark, **options))
+
+
+def _indexed(docs: DataFrame, doc_id: str, text: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    path = folder(docs.sparkSession, "index")
+    try:
+        return cut(f(index(docs, path, doc_id=doc_id, text=text)))
+    finally:
+        remove(docs.sparkSession, path)
 
 
 def proximity(docs: DataFrame, queries: dict[str, str], *, within: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,7 +358,6 @@ def proximity(docs: DataFrame, queries: dict[str, str], *, within: int, doc_id:
     null id too; null texts and an empty table give no rows; other columns play no part.
     """
     phrases = Phrases.build(list(queries.items()), None)
-    stored_index = index(docs, doc_id=doc_id, text=text)
 
     def run(block: int, lists: Lists, order: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -361,8 +368,11 @@ def proximity(docs: DataFrame, queries: dict[str, str], *, within: int, doc_id:
         cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64()))]
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *cols], names=["block", "row", "query", "word"])
 
-    found = _search(stored_index, phrases, run, "block long, row int, query string, word long")
-    return _documents(stored_index).drop("n_words").join(found, ["block", "row"]).select("doc_id", "query", "word")
+    def places(made: DataFrame) -> DataFrame:
+        found = _search(made, phrases, run, "block long, row int, query string, word long")
+        return _documents(made).drop("n_words").join(found, ["block", "row"]).select("doc_id", "query", "word")
+
+    return _indexed(docs, doc_id, text, places)
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
