@@ -27,4 +27,4 @@ def repartition_by_range(df: DataFrame, n: int, *keys: str) -> DataFrame:
 def partition_by(df: DataFrame, n: int, key: str, place: Callable | None = None) -> DataFrame:
     """Rows in the partition that ``place`` (a function of a Column to one) or the key itself names, modulo n."""
     spot = place(F.col(key)) if place else F.col(key)
-    return df.repartitionById(n, F.pmod(spot.cast("int"), F.lit(n)))
+    return df.repartitionById(n, F.pmod(spot.cast("long"), F.lit(n)).cast("int"))

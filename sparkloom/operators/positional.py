@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +29,11 @@ def _part_of(key: Column, points: list[Column], low: int = 0) -> Column:
     return F.when(key >= points[half], _part_of(key, points[half + 1 :], low + half + 1)).otherwise(_part_of(key, points[:half], low))
 
 
+def _hash_of_columns(df: DataFrame) -> Column:
+    """Tells rows of one place apart; maps have no hash."""
+    return F.xxhash64(*(f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
 def zip_with_index(df: DataFrame, *order: str, name: str = "index", partitions: int | None = None) -> DataFrame:
     """``df`` with the position of each row in the order, from 0; nulls first, rows of one place by a hash of all their columns.
 
@@ -38,8 +43,7 @@ def zip_with_index(df: DataFrame, *order: str, name: str = "index", partitions:
     """
     n = df.count()
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    keys = [F.col(c) for c in order] + [F.xxhash64(*hashed)]
+    keys = [F.col(c) for c in order] + [_hash_of_columns(df)]
     points = _cut_points(df, keys, n, max(1, parts)) if n > parts else []
     struct = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keys)))
     placed = df.withColumn("__part", _part_of(struct, points))
@@ -60,19 +64,26 @@ def zip_frames(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str
     return zip_with_index(a, *order_a, name="__i").join(zip_with_index(b, *order_b, name="__i"), "__i").drop("__i")
 
 
-def zip_partitions(frames: list[DataFrame], f: Callable[[list[pd.DataFrame]], pd.DataFrame], schema: str) -> DataFrame:
-    """f over the k-th partitions of frames with one schema and as many partitions; a pair of partitions must fit a task."""
+def zip_partitions(frames: list[DataFrame], f: Callable[[list[pd.DataFrame]], pd.DataFrame], schema: str, *, order: Sequence[str] = ()) -> DataFrame:
+    """f over the k-th partitions of frames with one schema and as many partitions; a pair of partitions must fit a task.
+
+    f gets each partition's rows in the order of the named columns, nulls first, rows of one place by a hash of all their
+    columns.  Without a named order they come as the partition holds them, which differs from one evaluation to the next
+    after a shuffle: its blocks are taken as they arrive.  So name one wherever f matches rows by their places.
+    """
     counts = {df.rdd.getNumPartitions() for df in frames}
     if len(counts) != 1:
         raise ValueError("the frames differ in partitions")
-    tagged = [df.withColumn("__p", F.spark_partition_id()).withColumn("__f", F.lit(i)).withColumn("__s", F.monotonically_increasing_id()) for i, df in enumerate(frames)]
+    if order:
+        frames = [df.sortWithinPartitions(*order, _hash_of_columns(df)) for df in frames]
+    tagged = [df.withColumn("__p", F.spark_partition_id()).withColumn("__f", F.lit(i).cast("short")).withColumn("__s", F.monotonically_increasing_id()) for i, df in enumerate(frames)]
     all_rows = tagged[0]
     for t in tagged[1:]:
         all_rows = all_rows.unionByName(t)
     columns, n = frames[0].columns, len(frames)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__s")
-        return f([group.loc[group["__f"] == i, columns].reset_index(drop=True) for i in range(n)])
+        sides = (group.loc[group["__f"] == i, [*columns, "__s"]] for i in range(n))  # one after the other, as they are large
+        return f([side.sort_values("__s", ignore_index=True)[columns] for side in sides])
 
     return all_rows.groupBy("__p").applyInPandas(run, schema)

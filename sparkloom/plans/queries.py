@@ -301,7 +301,7 @@ def zip_frames(spark, d):
 def zip_partitions(spark, d):
     dealt = O.partition_by(t(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("v")), 5, "v")
     twice = dealt.select((F.col("v") * 2).alias("v"))
-    return O.zip_partitions([dealt, twice], lambda fs: fs[0].assign(w=fs[0]["v"] + fs[1]["v"]), "v long, w long")
+    return O.zip_partitions([dealt, twice], lambda fs: fs[0].assign(w=fs[0]["v"] + fs[1]["v"]), "v long, w long", order=["v"])
 
 
 @query("SELECT k AS part, count(o_custkey) AS n, CAST(coalesce(sum(o_custkey), 0) AS BIGINT) AS total FROM range(0, 5) r(k) LEFT JOIN orders ON o_custkey % 5 = k AND o_custkey % 5 <> 3 GROUP BY k")

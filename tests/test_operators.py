@@ -122,6 +122,21 @@ def test_partitions_side_by_side(spark):
     assert sorted(r[0] for r in got.collect()) == [111, 222, 333, 444]
 
 
+def test_partitions_side_by_side_in_a_named_order(spark):
+    def dealt(rows):
+        return O.partition_by(frame(spark, rows, "v long, s string"), 2, "v")
+
+    keys = [4, 2, 0, 3, 1, 2, None, 4, 5]
+    a, b = dealt([(k, f"a{k}") for k in keys]), dealt([(k, f"b{k}") for k in reversed(keys)])
+    got = O.zip_partitions([a, b], lambda fs: fs[0][["s"]].assign(t=fs[1]["s"]), "s string, t string", order=["v"])
+    assert sorted(tuple(r) for r in got.collect()) == sorted((f"a{k}", f"b{k}") for k in keys)
+
+
+def test_partition_by_large_keys(spark):
+    v = O.partition_by(frame(spark, [(5_000_000_003,), (-5_000_000_001,), (7,), (None,)], "v long"), 5, "v")
+    assert got(v.select("v", F.spark_partition_id().alias("p")).na.fill(-1)) == [(-1, 0), (-5_000_000_001, 4), (5_000_000_003, 3), (7, 2)]
+
+
 def test_glom_and_each_partition_see_empty_ones(spark):
     v = O.partition_by(frame(spark, [(0,), (0,), (2,)], "v int"), 4, "v")
     assert [r[0] for r in O.glom(v, "v").collect()] == [[0, 0], [], [2], []]
